@@ -1,7 +1,7 @@
 """Distributed union-find and linking through inverted lists, in DataFrame operations only.
 
 Skew: a list that holds a third of all nodes is never paired with itself.
-Its members are first compared with one leader each (linear in the list), the
+Its members are first compared with a few leaders (linear in the list), the
 verified links are merged to components, and only members of *different*
 components that still share a list are paired afterwards. No link is lost: two
 nodes that share a list end in one component or are compared directly.
@@ -57,36 +57,58 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     )
 
 
+#: Rounds of leaders; pairs are listed one by one once no more than PAIRS_EACH for a member remain.
+ROUNDS, PAIRS_EACH = 8, 4
+
+
+def merge(roots: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``roots`` (node, root) after the links (a, b) between nodes; nodes without a row are their own root."""
+    named = roots.select(F.col("node").alias("k"), "root")
+    between = (
+        links.join(named.withColumnRenamed("root", "x"), F.col("a") == F.col("k"), "left")
+        .select(F.coalesce("x", "a").alias("a"), "b")
+        .join(named.withColumnRenamed("root", "y"), F.col("b") == F.col("k"), "left")
+        .select("a", F.coalesce("y", "b").alias("b"))
+    )
+    top = scratch.keep(connected_components(between, scratch), "top")
+    moved = roots.join(top.select(F.col("node").alias("root"), F.col("root").alias("r2")), "root", "left")
+    moved = moved.select("node", F.coalesce("r2", "root").alias("root"))
+    return scratch.keep(moved.union(top.join(roots.select("node"), "node", "left_anti").select("node", "root")), "roots")
+
+
 def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
     """(node, root) of all nodes with a verified link.
 
-    ``postings``: (key, node, leader), a row for each list and member, leader
-    being the list's smallest node. ``verify`` takes distinct pairs (a, b) with
-    the count n of the lists they met in, and returns those (a, b) that link.
+    ``postings``: (key, node), distinct. ``verify`` takes distinct pairs (a, b)
+    and returns those that link.
+
+    Each round gives every list a new pseudorandom leader and compares each node
+    with the leader that it meets in most lists, if they are in different
+    components. Groups whose members mostly resemble each other merge in a few
+    rounds; what is left is compared pair by pair.
     """
-    stars = (
-        postings.where("node <> leader")
-        .groupBy("node", "leader")
-        .agg(F.count("*").alias("n"))
-        .groupBy("node")
-        .agg(F.max(F.struct("n", "leader")).alias("best"))
-        .select(F.col("best.leader").alias("a"), F.col("node").alias("b"), F.col("best.n").alias("n"))
-    )
-    stars = scratch.keep(stars, "stars")
-    links = scratch.keep(verify(stars).select("a", "b"), "star-links")
-    roots = scratch.keep(connected_components(links, scratch), "star-roots")
-
-    members = scratch.keep(
-        postings.select("key", "node")
-        .join(roots, "node", "left")
-        .select("key", "node", F.coalesce("root", "node").alias("root")),
-        "members",
-    )
-    # the lists in which more than one component meets
-    open_keys = (
-        members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    )
-    members = scratch.keep(members.join(open_keys, "key", "left_semi"), "open")
+    roots = postings.sparkSession.createDataFrame([], "node long, root long")
+    tested = None
+    for step in range(ROUNDS):
+        members = postings.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        # the lists in which more than one component meets
+        split = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(step)), "node", "root")).alias("l"))
+        split = split.where("lo <> hi").select("key", F.col("l.node").alias("leader"), F.col("l.root").alias("leading"))
+        members = scratch.keep(members.join(split, "key"), "members")
+        kinds = members.groupBy("key", "root").agg(F.count("*").alias("n"))
+        load = kinds.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("s"))
+        load = load.agg(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2).alias("pairs"), F.sum("n").alias("members")).first()
+        if not load["pairs"] or step and load["pairs"] <= PAIRS_EACH * load["members"]:
+            break
+        stars = members.where("root <> leading").groupBy("node", "leader").agg(F.count("*").alias("n"))
+        stars = stars.groupBy("node").agg(F.max(F.struct("n", "leader")).alias("best"))
+        stars = scratch.keep(stars.select(F.least("node", "best.leader").alias("a"), F.greatest("node", "best.leader").alias("b")).distinct(), "stars")
+        tested = stars if tested is None else tested.union(stars)
+        links = scratch.keep(verify(stars).select("a", "b"), "links")
+        if not links.isEmpty():
+            roots = merge(roots, links, scratch)
+    else:
+        members = postings.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     kinds = members.select("key", "root").distinct()
     meets = (
         kinds.alias("x")
@@ -95,26 +117,8 @@ def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch:
     )
     left = members.select("key", F.col("root").alias("ra"), F.col("node").alias("na"))
     right = members.select("key", F.col("root").alias("rb"), F.col("node").alias("nb"))
-    pairs = (
-        meets.join(left, ["key", "ra"])
-        .join(right, ["key", "rb"])
-        .groupBy(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
-        .agg(F.count("*").alias("n"))
-        .join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    )
-    more = scratch.keep(verify(scratch.keep(pairs, "pairs")).select("a", "b"), "more-links")
-    if more.isEmpty():
-        return roots
-    named = roots.select(F.col("node").alias("k"), "root")
-    merged = (
-        more.join(named.withColumnRenamed("root", "x"), F.col("a") == F.col("k"), "left")
-        .select(F.coalesce("x", "a").alias("a"), "b")
-        .join(named.withColumnRenamed("root", "y"), F.col("b") == F.col("k"), "left")
-        .select("a", F.coalesce("y", "b").alias("b"))
-    )
-    top = scratch.keep(connected_components(merged, scratch), "top")
-    out = roots.join(top.select(F.col("node").alias("root"), F.col("root").alias("r2")), "root", "left").select(
-        "node", F.coalesce("r2", "root").alias("root")
-    )
-    alone = top.join(roots.select("node"), "node", "left_anti")
-    return scratch.keep(out.union(alone.select("node", "root")), "roots")
+    pairs = meets.join(left, ["key", "ra"]).join(right, ["key", "rb"]).select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
+    if tested is not None:
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    links = scratch.keep(verify(scratch.keep(pairs, "pairs")).select("a", "b"), "links")
+    return roots if links.isEmpty() else merge(roots, links, scratch)

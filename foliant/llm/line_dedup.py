@@ -32,6 +32,8 @@ from .common import WORD, Scratch, table
 from .components import link
 
 SHINGLE, BANDS, ROWS, SAMPLE, PERCENT = 8, 10, 4, 128, 80
+#: Rows of one long that a broadcast may hold.
+MOST_BROADCAST = 400_000
 LAST = (1 << 63) - 1
 _random = random.Random(20240817)
 MASKS = [_random.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
@@ -79,10 +81,12 @@ def line_classes(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataF
     places = scratch.keep(lines.select("h", "ord", "pos"), "places")
     distinct = lines.groupBy("h").agg(F.first("line").alias("line"))
     keys = band_keys(distinct)
-    postings = keys.selectExpr("key", "node", "count(*) over (partition by key) as c", "min(node) over (partition by key) as leader").where("c > 1")
-    postings = scratch.keep(postings.select("key", "node", "leader").distinct(), "postings")
-    wanted = postings.select(F.col("node").alias("h")).distinct()
-    texts = scratch.keep(lines.select("h", "line").join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")), "texts")
+    postings = keys.selectExpr("key", "node", "count(*) over (partition by key) as c").where("c > 1")
+    postings = scratch.keep(postings.select("key", "node").distinct(), "postings")
+    wanted = scratch.keep(postings.select(F.col("node").alias("h")).distinct(), "wanted")
+    # few enough hashes go to all tasks; beyond that the lines are shuffled
+    asked = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted
+    texts = scratch.keep(lines.select("h", "line").join(asked, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")), "texts")
     roots = link(postings, lambda pairs: _similar(pairs, texts), scratch)
     firsts = places.groupBy("h").agg(F.min(F.struct("ord", "pos")).alias("first"), F.count("*").alias("c"))
     firsts = firsts.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").where("c > 1 or root is not null")

@@ -33,6 +33,8 @@ from .common import Scratch, python_batches, table
 from .components import link
 
 COORDS, MATCHES = 64, 38
+#: Rows of two longs that a broadcast may hold.
+MOST_BROADCAST = 200_000
 U = np.uint64
 _rng = np.random.default_rng(20240817)
 MULT = _rng.integers(0, 1 << 63, COORDS, dtype=np.int64).astype(U) * U(2) + U(1)
@@ -116,13 +118,14 @@ def _signatures(size: int):
 
 
 def _sets(size: int):
-    """Rows (node, values) of the documents that are asked for."""
+    """Rows (node, values) of texts whose set is the one asked for; rows with one id may bring others along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, data, offsets in ts.slices(batch.column(0)):
+            for at, data, offsets in ts.slices(batch.column(0)):
                 words, first = ts.scan(data, offsets)
-                sets = [(set_key(v)[0], v.tobytes()) for v in shingle_sets(words, first, size) if len(v)]
+                asked = batch.column(1).slice(at, len(first) - 1).to_pylist()
+                sets = [(k, pack(v)) for k, v in zip(asked, shingle_sets(words, first, size), strict=True) if len(v) and set_key(v)[0] == k]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k for k, _ in sets], pa.int64()), pa.array([v for _, v in sets], pa.binary())], names=["node", "values"]
                 )
@@ -130,12 +133,23 @@ def _sets(size: int):
     return run
 
 
+def pack(values):
+    """The upper 40 bits of each value; two sets of 5,000 share one by chance in about 2 of 100,000 pairs."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes()
+
+
+def unpack(data):
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, 3:] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
 def _confirm(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), U) for v in (x, y))
+                x, y = (unpack(v.as_buffer()) for v in (x, y))
                 both = len(x) + len(y) - len(np.union1d(x, y))
                 keep.append(100 * both >= least * (len(x) + len(y) - both))
             keep = pa.array(keep, pa.bool_())
@@ -163,25 +177,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 2, percent
     posted = posted.select(
         "node", F.shiftleft(F.col("coord").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key")
     )
-    shared = posted.selectExpr("key", "node", "count(*) over (partition by key) as c", "min(node) over (partition by key) as leader").where("c > 1")
+    shared = posted.selectExpr("key", "node", "count(*) over (partition by key) as c").where("c > 1")
     # prefix: the rarest COORDS - MATCHES + 1, of which unshared ones come first
     prefix = COORDS - MATCHES + 1
     ranked = shared.selectExpr(
-        "key", "node", "leader",
+        "key", "node",
         f"row_number() over (partition by node order by c, key) + {COORDS} - count(*) over (partition by node) as place",
     )
     ranked = scratch.keep(ranked.where(f"place <= {prefix}").select("key", "node"), "prefixes")
-    # lists are led anew, as the prefix leaves members out
-    lists = ranked.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("c")).where("c > 1").select("key", "leader")
-    postings = scratch.keep(ranked.join(lists, "key"), "postings")
-
-    wanted = postings.select("node").distinct().join(classes.select("node", "doc_id", "sig", "n"), "node")
-    wanted = scratch.keep(wanted, "wanted")
+    # the prefix leaves members out, and lists of one
+    lists = ranked.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    postings = scratch.keep(ranked.join(lists, "key", "left_semi"), "postings")
+    wanted = scratch.keep(postings.select("node").distinct().join(classes.select("node", "doc_id", "sig", "n"), "node"), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    asked = texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-    sets = asked.mapInArrow(_sets(size), "node long, values binary")
-    # rows with one id may bring other sets along, and equal texts the same set
-    sets = scratch.keep(sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
         side = lambda k: wanted.select(F.col("node").alias(k), F.col("sig").alias(f"s{k}"), F.col("n").alias(f"n{k}"))
@@ -192,6 +200,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 2, percent
             .where(f"size(filter(zip_with(sa, sb, (x, y) -> x = y), x -> x)) >= {MATCHES}")
             .select("a", "b")
         )
+        close = scratch.keep(close, "close")
+        nodes = close.select(F.col("a").alias("node")).union(close.select("b")).distinct().join(wanted.select("node", "doc_id"), "node")
+        nodes = scratch.keep(nodes.select("doc_id", F.col("node").alias("asked")), "asked")
+        # few enough ids go to all tasks; beyond that the texts are shuffled
+        ids = F.broadcast(nodes) if nodes.count() <= MOST_BROADCAST else nodes
+        sets = scratch.keep(texts.join(ids, "doc_id").select("text", "asked").mapInArrow(_sets(size), "node long, values binary"), "sets")
         one = lambda k: sets.select(F.col("node").alias(k), F.col("values").alias(f"v{k}"))
         return close.join(one("a"), "a").join(one("b"), "b").select("a", "b", "va", "vb").mapInArrow(_confirm(percent), "a long, b long")
 
