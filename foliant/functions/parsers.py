@@ -1,0 +1,318 @@
+"""Sequential parsers: plain Python over one text, run per row in Arrow batches.
+
+They take a text and return rows; nothing here keeps state between texts.
+"""
+
+from __future__ import annotations
+
+import gzip
+import html.parser
+import io
+import re
+import struct
+import tarfile
+import unicodedata
+import zlib
+
+CITE_STYLES = ("cite", "citep", "citet", "citeauthor", "citeyear", "citealp", "parencite")
+REF_STYLES = ("ref", "eqref", "cref", "Cref", "autoref")
+MOST_NOTE = 10_000
+DEFINERS = ("newcommand", "renewcommand", "providecommand", "DeclareMathOperator", "def")
+UNSAFE = re.compile(r"\\(?:input|include|write|openout|read|csname|catcode|def|let|newcommand|immediate)(?![A-Za-z])")
+MOST_MACROS, MOST_BODY = 500, 2000
+LITERAL = ("verbatim", "lstlisting", "filecontents")
+
+
+def group(text: str, at: int, opening: str = "{", closing: str = "}") -> int:
+    """End (exclusive) of the balanced group that opens at ``at``; -1 if it doesn't close. A backslash escapes."""
+    depth, i = 0, at
+    while i < len(text):
+        c = text[i]
+        if c == "\\":
+            i += 2
+            continue
+        depth += (c == opening) - (c == closing)
+        if not depth:
+            return i + 1
+        i += 1
+    return -1
+
+
+def tokenize_tex(text: str) -> list[tuple[int, int, str, str, str, str, str]]:
+    """(start, end, kind, style, names, pre, post); the spans cover the text in order, without overlaps."""
+    out, at, i = [], 0, 0
+    command = re.compile(r"\\([A-Za-z]+)(\*?)")
+    while m := command.search(text, i):
+        name, j = m[1], m.end()
+        notes = []
+        row = None
+        if name in CITE_STYLES:
+            while text[j : j + 1] == "[" and (e := group(text, j, "[", "]")) > 0:
+                notes.append(text[j + 1 : e - 1])
+                j = e
+        if (name in CITE_STYLES or name in REF_STYLES or name == "label") and text[j : j + 1] == "{" and (e := group(text, j)) > 0:
+            kind = "cite" if name in CITE_STYLES else "label" if name == "label" else "ref"
+            names = ",".join(x.strip() for x in text[j + 1 : e - 1].split(",") if x.strip())
+            pre, post = (notes[0], notes[1]) if len(notes) > 1 else ("", notes[0] if notes else "")
+            row = (m.start(), e, kind, name, names, pre, post)
+        elif name == "footnote" and text[j : j + 1] == "{" and (e := group(text, j)) > 0 and e - j <= MOST_NOTE:
+            row = (m.start(), e, "footnote", name, text[j + 1 : e - 1], "", "")
+        if row is None:
+            i = m.end()
+            continue
+        if row[0] > at:
+            out.append((at, row[0], "other", "", "", "", ""))
+        out.append(row)
+        at = i = row[1]
+    if at < len(text):
+        out.append((at, len(text), "other", "", "", "", ""))
+    return out
+
+
+def split_rows(text: str) -> list[str]:
+    """Rows of a display at line breaks outside braces and environments."""
+    rows, depth, env, at, i = [], 0, 0, 0, 0
+    while i < len(text):
+        if text.startswith(r"\begin{", i):
+            env += 1
+        elif text.startswith(r"\end{", i):
+            env -= 1
+        if text.startswith("\\\\", i):
+            if not depth and not env:
+                rows.append(text[at:i])
+                at = i + 2
+            i += 2
+            continue
+        if text[i] == "\\":
+            i += 2
+            continue
+        depth += (text[i] == "{") - (text[i] == "}")
+        i += 1
+    return [*rows, text[at:]]
+
+
+def strip_comments(text: str) -> str:
+    """Text without comments: from an unescaped percent sign to the line's end, except in literal environments."""
+    out, inside = [], ""
+    for line in text.split("\n"):
+        if not inside:
+            for m in re.finditer(r"(\\*)%", line):
+                if len(m[1]) % 2 == 0:
+                    line = line[: m.end() - 1]
+                    break
+            if (b := re.search(r"\\begin\{(\w+)\*?\}", line)) and b[1] in LITERAL:
+                inside = b[1]
+        if inside and re.search(rf"\\end\{{{inside}\*?\}}", line):
+            inside = ""
+        out.append(line)
+    return "\n".join(out)
+
+
+def bibtex_entries(text: str) -> list[tuple[int, str, str, dict[str, str]]]:
+    """(position, type, key, fields) of a bibliography database; repeated keys keep their position but only the first counts."""
+    out, seen = [], set()
+    for n, m in enumerate(re.finditer(r"@(\w+)\s*\{\s*([^,\s}]+)\s*,", text), 1):
+        end = group(text, text.index("{", m.start()))
+        body = text[m.end() : end - 1 if end > 0 else len(text)]
+        if m[2] in seen:
+            continue
+        seen.add(m[2])
+        fields = {k.lower(): re.sub(r"\s+", " ", a or b or c).strip() for k, a, b, c in re.findall(r'(\w+)\s*=\s*(?:\{([^{}]*)\}|"([^"]*)"|(\w+))', body)}
+        out.append((n, m[1].lower(), m[2], fields))
+    return out
+
+
+def bbl_items(text: str) -> list[tuple[int, str, str | None, str]]:
+    """(position, key, label, body) of a formatted bibliography; repeated keys use up a position."""
+    found = list(re.finditer(r"\\bibitem\s*(?:\[((?:[^\[\]{}]|\{[^{}]*\})*)\])?\s*\{([^}]*)\}", text))
+    out, seen = [], set()
+    for n, m in enumerate(found, 1):
+        end = found[n].start() if n < len(found) else (text.find(r"\end{thebibliography}", m.end()) if r"\end{thebibliography}" in text[m.end() :] else len(text))
+        if m[2] not in seen:
+            seen.add(m[2])
+            out.append((n, m[2], m[1], re.sub(r"\s+", " ", text[m.end() : end]).strip()))
+    return out
+
+
+def macros(preamble: str) -> dict[str, str]:
+    """Safe macros by name: provided ones keep the first body, others the last."""
+    out: dict[str, str] = {}
+    for m in re.finditer(r"\\(" + "|".join(DEFINERS) + r")\*?\s*\{?\\([A-Za-z]+)\}?", preamble):
+        j = m.end()
+        if n := re.match(r"\s*\[\d\]|(?:#\d)+", preamble[j:]):
+            j += n.end()
+        if re.match(r"\s*\[", preamble[j:]):
+            continue  # optional arguments
+        j += len(preamble[j:]) - len(preamble[j:].lstrip())
+        if preamble[j : j + 1] != "{" or (e := group(preamble, j)) < 0:
+            continue
+        body = preamble[j + 1 : e - 1]
+        if "@" in body or len(body) > MOST_BODY or UNSAFE.search(body) or (m[1] == "providecommand" and m[2] in out):
+            continue
+        if m[2] in out or len(out) < MOST_MACROS:
+            out[m[2]] = rf"\operatorname{{{body}}}" if m[1] == "DeclareMathOperator" else body
+    return out
+
+
+class _Nodes(html.parser.HTMLParser):
+    VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.rows, self.path, self.tags, self.next = [], [], [], [0]
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        here = [*self.path, self.next[-1]]
+        self.next[-1] += 1
+        self.rows.append((here, tag, a.get("class") or "", a.get("id"), a.get("href") or a.get("src"), [""]))
+        if tag not in self.VOID:
+            self.path, self.tags = here, [*self.tags, (tag, len(self.rows) - 1)]
+            self.next.append(0)
+
+    def handle_endtag(self, tag):
+        if tag in [t for t, _ in self.tags]:
+            while self.tags:
+                top, _ = self.tags.pop()
+                self.path = self.path[:-1]
+                self.next.pop()
+                if top == tag:
+                    break
+
+    def handle_data(self, data):
+        if self.tags:
+            self.rows[self.tags[-1][1]][5][0] += data
+
+
+def html_nodes(text: str) -> list[tuple[list[int], str, str, str | None, str | None, str]]:
+    """(path, tag, classes, id, link, own text) of every element in document order."""
+    p = _Nodes()
+    p.feed(text or "")
+    p.close()
+    return [(path, tag, cls, i, link, re.sub(r"\s+", " ", own[0]).strip()) for path, tag, cls, i, link, own in p.rows]
+
+
+FORBIDDEN = {"iframe", "object", "embed", "form", "input", "base", "frame", "frameset", "applet", "audio", "video"}
+
+
+def html_violations(text: str) -> list[str]:
+    """Codes of rules that a self-contained page must keep, one for each offence."""
+    found: list[str] = []
+
+    class Check(html.parser.HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            a = dict(attrs)
+            if tag in FORBIDDEN:
+                found.append("forbidden-tag")
+            if tag == "meta" and (a.get("http-equiv") or "").lower() == "refresh":
+                found.append("meta-refresh")
+            found.extend("event-handler" for k in a if k.startswith("on"))
+            if tag == "script" and "src" in a:
+                found.append("script-src")
+            for k in ("src", "srcset", "poster", "background"):
+                if tag != "script" and k in a and not (a[k] or "").startswith("data:"):
+                    found.append("external-resource")
+            style = re.sub(r"/\*.*?\*/", "", a.get("style") or "", flags=re.S)
+            if re.search(r"url\s*\(|@import", style, re.I):
+                found.append("css-url")
+            href = (a.get("href") or "").strip()
+            if tag == "a" and href and not href.startswith(("#", "mailto:")):
+                if not href.lower().startswith(("http://", "https://")):
+                    found.append("href-scheme")
+                elif "noopener" not in (a.get("rel") or "").split():
+                    found.append("href-noopener")
+
+    Check().feed(text or "")
+    return found
+
+
+def sniff(data: bytes) -> str:
+    """pdf, tar, tar-gz, gzip, tex or unknown, by content."""
+    if data.startswith(b"%PDF-"):
+        return "pdf"
+    if data[257:262] == b"ustar":
+        return "tar"
+    if data.startswith(b"\x1f\x8b"):
+        try:
+            head = zlib.decompressobj(31).decompress(data, 1024)
+        except zlib.error:
+            return "unknown"
+        return "tar-gz" if head[257:262] == b"ustar" else "gzip"
+    text = data[:4096].decode("utf-8", "replace")
+    printable = sum(c.isprintable() or c in "\n\r\t" for c in text)
+    return "tex" if text and printable >= 0.8 * len(text) and re.search(r"\\documentclass|\\begin", text) else "unknown"
+
+
+class UnsafeArchive(ValueError):
+    pass
+
+
+def tar_members(data: bytes, most_members: int = 2000, most_bytes: int = 200 << 20, ratio: int = 100) -> list[tuple[str, bytes]]:
+    """Plain files of an archive. Links, devices, absolute or climbing names and bombs are refused."""
+    raw = io.BytesIO(data)
+    if data.startswith(b"\x1f\x8b"):
+        raw = io.BytesIO(gunzip(data, most_bytes, ratio))
+    with tarfile.open(fileobj=raw) as t:
+        members, total = [], 0
+        for m in t:
+            if len(members) >= most_members:
+                raise UnsafeArchive("too many members")
+            parts = m.name.split("/")
+            if m.name.startswith("/") or ".." in parts or "\\" in m.name or not (m.isfile() or m.isdir()):
+                raise UnsafeArchive(f"member {m.name[:80]!r}")
+            total += m.size
+            if total > most_bytes:
+                raise UnsafeArchive("too large")
+            members.append(m)
+        return [(m.name, t.extractfile(m).read()) for m in members if m.isfile()]
+
+
+def gunzip(data: bytes, most_bytes: int = 200 << 20, ratio: int = 100) -> bytes:
+    out = gzip.GzipFile(fileobj=io.BytesIO(data)).read(most_bytes + 1)
+    if len(out) > most_bytes or len(out) > ratio * max(len(data), 1024):
+        raise UnsafeArchive("expands too far")
+    return out
+
+
+def jpeg_size(data: bytes) -> tuple[int, int] | None:
+    i = 2
+    while i + 9 < len(data) and data[i] == 0xFF:
+        if data[i + 1] in (0xC0, 0xC1, 0xC2, 0xC3):
+            h, w = struct.unpack(">HH", data[i + 5 : i + 9])
+            return w, h
+        i += 2 + struct.unpack(">H", data[i + 2 : i + 4])[0]
+    return None
+
+
+def png(width: int, height: int, rgb: bytes) -> bytes:
+    """An RGB image as PNG."""
+    part = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    rows = b"".join(b"\0" + rgb[3 * width * y : 3 * width * (y + 1)] for y in range(height))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows, 9)) + part(b"IEND", b"")
+
+
+def lines_of_chars(chars: list[tuple[str, float, float, float, float, float]]) -> list[tuple[float, float, float, float, str]]:
+    """(l, b, r, t, text) of lines from (text, l, b, r, t, font) characters, in any order.
+
+    Characters, sorted from the top and left, join the first line that they
+    overlap by half of the smaller height; a gap wider than 0.35 of the larger
+    font is a blank.
+    """
+    lines: list[dict] = []
+    for c in sorted(chars, key=lambda c: (-c[4], c[1], c[2])):
+        for ln in lines:
+            if min(ln["t"], c[4]) - max(ln["b"], c[2]) >= 0.5 * min(ln["t"] - ln["b"], c[4] - c[2]):
+                break
+        else:
+            ln = {"l": c[1], "b": c[2], "r": c[3], "t": c[4], "cs": []}
+            lines.append(ln)
+        ln["cs"].append(c)
+        ln["l"], ln["b"], ln["r"], ln["t"] = min(ln["l"], c[1]), min(ln["b"], c[2]), max(ln["r"], c[3]), max(ln["t"], c[4])
+    out = []
+    for ln in lines:
+        cs = sorted(ln["cs"], key=lambda c: c[1])
+        text = cs[0][0]
+        for a, b in zip(cs, cs[1:], strict=False):
+            text += (" " if b[1] - a[3] > 0.35 * max(a[5], b[5]) else "") + b[0]
+        out.append((ln["l"], ln["b"], ln["r"], ln["t"], re.sub(r"\s+", " ", unicodedata.normalize("NFC", text)).strip()))
+    return sorted(out, key=lambda x: (-x[3], x[0]))
