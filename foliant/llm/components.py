@@ -59,6 +59,8 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 #: Rounds of leaders; pairs are listed one by one once no more than PAIRS_EACH for a member remain.
 ROUNDS, PAIRS_EACH = 8, 4
+#: A round in which fewer than one comparison in so many finds a link is the last.
+LEAST_FOUND = 20
 
 
 def merge(roots: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -105,10 +107,18 @@ def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch:
         stars = scratch.keep(stars.select(F.least("node", "best.leader").alias("a"), F.greatest("node", "best.leader").alias("b")).distinct(), "stars")
         tested = stars if tested is None else tested.union(stars)
         links = scratch.keep(verify(stars).select("a", "b"), "links")
-        if not links.isEmpty():
+        scratch.drop(members)
+        found = links.count()
+        if found:
             roots = merge(roots, links, scratch)
+        if found * LEAST_FOUND < stars.count():  # the lists' members are not alike
+            members = postings.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+            break
     else:
         members = postings.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    # lists within one component are done
+    apart = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    members = members.join(apart, "key", "left_semi")
     kinds = members.select("key", "root").distinct()
     meets = (
         kinds.alias("x")

@@ -8,8 +8,8 @@ constant for each coordinate) without leaving their task, as they are dealt by
 line already. Lines longer than ``SAMPLE`` shingles use those whose hash ends in
 ``tier`` zero bits, tier growing with the length; a line whose partner may lie
 in the next tier is signed in both. Bands of ``ROWS`` coordinates post the line,
-``components.link`` compares lines that share a band with exact Jaccard on full
-shingle sets, and one line of each component is kept: the first by document id
+``components.link`` compares lines that share a band and half of all coordinates by
+exact Jaccard on full shingle sets, and one line of each component is kept: the first by document id
 and place.
 
 A pair at the limit of 0.8 shares a band with a chance of 99.5 %, at 0.9 of
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import WORD, Scratch, table
 from .components import link
 
-SHINGLE, BANDS, ROWS, SAMPLE, PERCENT = 8, 10, 4, 128, 80
+SHINGLE, BANDS, ROWS, SAMPLE, PERCENT, MATCHES = 8, 10, 4, 128, 80, 20
 #: Rows of one long that a broadcast may hold.
 MOST_BROADCAST = 400_000
 LAST = (1 << 63) - 1
@@ -49,22 +49,33 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return lines.where(F.col("line").rlike(WORD)).select(F.xxhash64("line").alias("h"), "ord", "pos", "line")
 
 
-def band_keys(lines: DataFrame) -> DataFrame:
-    """(key, node) from distinct (h, line), which must be dealt by h."""
+def signatures(lines: DataFrame) -> DataFrame:
+    """(h, tier, m0, m1, ...) from distinct (h, line); lines dealt by h are not dealt anew."""
     d = lines.selectExpr("h", "encode(line, 'UTF-32') as bin").selectExpr("h", "bin", f"octet_length(bin) div 4 - {SHINGLE - 1} as n").where("n >= 4")
     d = d.selectExpr("h", "bin", "n", f"cast(greatest(0, ceil(log2(n / {SAMPLE}.0D))) as int) as tier")
     d = d.selectExpr("h", "bin", "n", f"explode(case when 100 * n > {PERCENT} * {SAMPLE} * shiftleft(1L, tier) then array(tier, tier + 1) else array(tier) end) as tier")
     d = d.selectExpr("h", "bin", "tier", "explode(sequence(0, cast(n - 1 as int))) as i")
     d = d.selectExpr("h", "tier", f"{SHINGLE_HASH} as x").where("(x & (shiftleft(1L, tier) - 1)) = 0")
-    low = d.groupBy("h", "tier").agg(*[F.expr(f"min(x ^ {m}L)").alias(f"m{k}") for k, m in enumerate(MASKS)])
+    return d.groupBy("h", "tier").agg(*[F.expr(f"min(x ^ {m}L)").alias(f"m{k}") for k, m in enumerate(MASKS)])
+
+
+def band_keys(lines: DataFrame) -> DataFrame:
+    """(key, node) from distinct (h, line)."""
+    low = signatures(lines)
     bands = [F.xxhash64(F.lit(b), "tier", *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
     return low.select(F.col("h").alias("node"), F.explode(F.array(*bands)).alias("key"))
 
 
+def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Pairs that agree on MATCHES coordinates in a tier; at the limit of 0.8 about 32 of 40 are expected."""
+    side = lambda k: sigs.select(F.col("h").alias(k), "tier", F.col("sig").alias(f"s{k}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), ["b", "tier"])
+    return both.where(f"size(filter(zip_with(sa, sb, (x, y) -> x = y), x -> x)) >= {MATCHES}").select("a", "b").distinct()
+
+
 def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full shingle sets overlap by PERCENT."""
     side = lambda k: texts.selectExpr(f"h as {k}", f"encode(line, 'UTF-32') as bin{k}", f"length(line) as n{k}")
-    # the size test is on shingles with repeats, so it leaves room for them
     joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     sets = lambda k: f"array_distinct(transform(sequence(0, octet_length(bin{k}) div 4 - {SHINGLE}), i -> {SHINGLE_HASH.replace('bin', f'bin{k}')}))"
     joined = joined.selectExpr("a", "b", f"{sets('a')} as sa", f"{sets('b')} as sb")
@@ -87,7 +98,9 @@ def line_classes(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataF
     # few enough hashes go to all tasks; beyond that the lines are shuffled
     asked = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted
     texts = scratch.keep(lines.select("h", "line").join(asked, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")), "texts")
-    roots = link(postings, lambda pairs: _similar(pairs, texts), scratch)
+    sigs = signatures(texts).select("h", "tier", F.array(*[F.shiftright(f"m{k}", 32).cast("int") for k in range(BANDS * ROWS)]).alias("sig"))
+    sigs = scratch.keep(sigs, "signatures")
+    roots = link(postings, lambda pairs: _similar(scratch.keep(_agreeing(pairs, sigs), "agreeing"), texts), scratch)
     firsts = places.groupBy("h").agg(F.min(F.struct("ord", "pos")).alias("first"), F.count("*").alias("c"))
     firsts = firsts.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").where("c > 1 or root is not null")
     firsts = firsts.select("h", "first", F.coalesce("root", "h").alias("root"))
