@@ -85,36 +85,27 @@ def tree_paths(messages: DataFrame, branches: int | None, scratch: Scratch) -> D
 def format_paths(turns: DataFrame) -> DataFrame:
     """(tree, leaf, formatted, spans) from (tree, leaf, place, role, text)."""
     made = turns.select("tree", "leaf", "place", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    made = made.select("tree", "leaf", F.struct("place", escape(F.col("role")).alias("role"), escape(F.col("text")).alias("text")).alias("turn"))
-    made = made.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
-    made = made.withColumn("pieces", F.expr("transform(turns, t -> concat('<s>[', t.role, ']', t.text, '</s>'))"))
-    made = made.withColumn("lengths", F.expr("transform(pieces, p -> length(p))"))
-    # running starts: one pass over the lengths
-    made = made.withColumn(
-        "starts",
-        F.expr("aggregate(lengths, named_struct('at', 0L, 'all', cast(array() as array<bigint>)), (s, n) -> named_struct('at', s.at + n, 'all', array_append(s.all, s.at)), s -> s.all)"),
-    )
-    return made.select(
-        "tree",
-        "leaf",
-        F.concat_ws("", "pieces").alias("formatted"),
-        F.expr(
-            "transform(turns, (t, i) -> case when t.role = 'assistant' then "
-            "named_struct('start', starts[i] + 4 + length(t.role), 'end', starts[i] + lengths[i] - 4) end)"
-        ).alias("spans"),
-    )
+    made = made.select("tree", "leaf", "place", escape(F.col("role")).alias("role"), escape(F.col("text")).alias("text"))
+    made = made.selectExpr("tree", "leaf", "place", "role", "length(text) as size", "concat('<s>[', role, ']', text, '</s>') as piece")
+    # where a turn starts: running sums, linear in the turns of a path; the aggregate below keeps their partitioning
+    made = made.selectExpr("*", "coalesce(sum(length(piece)) over (partition by tree, leaf order by place rows between unbounded preceding and 1 preceding), 0L) as at")
+    made = made.selectExpr("*", "at + length(piece) - 4 as until")
+    turn = "struct(place, piece, case when role = 'assistant' then named_struct('start', until - size, 'end', until) end as span) as turn"
+    made = made.selectExpr("tree", "leaf", turn).groupBy("tree", "leaf").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+    return made.select("tree", "leaf", F.concat_ws("", "turns.piece").alias("formatted"), F.col("turns.span").alias("spans"))
 
 
 def read_back(chats: DataFrame) -> DataFrame:
     """Digests of what the formatted text and its mask say.
 
     One split at the end mark (which no text can hold) keeps the reading linear;
-    a turn's text is under the mask where its span is.
+    a turn's text ends where its part ends, so the part's last ``end - start`` code
+    points are what its span masks.
     """
     d = chats.withColumn("parts", F.expr("slice(split(formatted, '</s>'), 1, size(split(formatted, '</s>')) - 1)"))
     d = d.withColumn("roles", F.expr("transform(parts, p -> substring(p, 5, locate(']', p) - 5))"))
     d = d.withColumn("texts", F.expr("transform(parts, p -> substring(p, locate(']', p) + 1))"))
-    d = d.withColumn("roles", F.transform("roles", unescape)).withColumn("masked", F.expr("zip_with(texts, spans, (t, s) -> case when s is not null then t end)"))
+    d = d.withColumn("roles", F.transform("roles", unescape)).withColumn("masked", F.expr("zip_with(parts, spans, (p, s) -> case when s is not null then substring(p, cast(length(p) - (s.end - s.start) + 1 as int)) end)"))
     d = d.withColumn("texts", F.transform("texts", unescape)).withColumn("masked", F.transform(F.expr("filter(masked, t -> t is not null)"), unescape))
     return d.select(
         "tree",

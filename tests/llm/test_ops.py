@@ -113,6 +113,14 @@ def test_conversations_come_back(spark, edge):
     assert got[-7]["loss_sha256"] == sha("</s>[INST] ok [/INST]")
 
 
+def test_mask_spans_are_the_assistant_texts(spark, edge):
+    rows = spark.read.parquet(f"{edge}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    codes = {code: plain for plain, code in chat_format.ESCAPES}
+    plain = lambda t: re.sub(r"\\[elbr]", lambda m: codes[m[0]], t)
+    got = {r["conv_id"]: [plain(r["formatted"][s["start"] : s["end"]]) if s else None for s in r["spans"]] for r in chat_format.format_conversations(spark, rows).collect()}
+    assert got == {1: [None, "a", "a\\l<s>[x]</s>\\"], 2: [None, None], 3: ["\\e\\"], None: ["[/INST]"]}
+
+
 def test_reply_tree_branches(spark):
     m = spark.createDataFrame([("t", "r", None, 0.0), ("t", "a", "r", 1.0), ("t", "b", "r", 3.0), ("t", "c", "a", 5.0), ("t", "d", "x", 1.0)], "tree string, node string, parent string, score double")
     one = chat_format.tree_paths(m, 1, Scratch(spark, "t")).collect()
