@@ -53,21 +53,22 @@ def tree_paths(messages: DataFrame, branches: int | None, scratch: Scratch) -> D
     links = nodes.join(known, "parent", "left_semi").select("node", F.col("parent").alias("up"))
     state = nodes.select("node", "score").join(links, "node", "left").select("node", "up", F.lit(1).cast("long").alias("size"), F.col("score").alias("total"))
     state = scratch.keep(state, "climb")
+    # only messages that have not reached their root climb on
+    finished, climbing = state.where("up is null"), state.where("up is not null")
     jumps = []
     most = max(1, state.count()).bit_length() + 1
-    while len(jumps) <= most and not state.where("up is not null").isEmpty():
-        jumps.append(state.where("up is not null").select("node", "up"))
-        above = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("size").alias("s2"), F.col("total").alias("t2"))
-        state = scratch.keep(
-            state.join(above, "up", "left").select(
-                "node",
-                F.col("up2").alias("up"),
-                (F.col("size") + F.coalesce("s2", F.lit(0))).alias("size"),
-                (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"),
-            ),
-            "climb",
+    while len(jumps) <= most and not climbing.isEmpty():
+        jumps.append(climbing.select("node", "up"))
+        above = finished.union(climbing).select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("size").alias("s2"), F.col("total").alias("t2"))
+        moved = climbing.join(above, "up", "left").select(
+            "node",
+            F.col("up2").alias("up"),
+            (F.col("size") + F.coalesce("s2", F.lit(0))).alias("size"),
+            (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"),
         )
-    leaves = state.where("up is null").join(nodes.where("parent is not null").select(F.col("parent").alias("node")).distinct(), "node", "left_anti")
+        moved = scratch.keep(moved, "climb")
+        finished, climbing = finished.union(moved.where("up is null")), moved.where("up is not null")
+    leaves = finished.join(nodes.where("parent is not null").select(F.col("parent").alias("node")).distinct(), "node", "left_anti")
     leaves = leaves.join(messages.select("tree", "node"), "node").select("tree", F.col("node").alias("leaf"), "size", "total")
     if branches == 1:
         best = leaves.groupBy("tree").agg(F.min(F.struct((-F.col("total")).alias("t"), "leaf", "size")).alias("b"))
