@@ -133,6 +133,16 @@ def test_decontamination(spark, edge):
     assert [(r["doc_id"], r["item_id"]) for r in OPS["op3"](spark, edge).collect()] == [(30, 1)]
 
 
+def test_item_in_a_third_of_the_documents_is_found(spark):
+    items = [(k, prose(5000 + k, 30)) for k in range(100)]
+    edited = " ".join(w if k % 6 else "changed" for k, w in enumerate(items[0][1].split()))
+    inside = lambda i: (items[0][1] if i % 2 else edited) if i % 3 == 0 else items[i // 3][1] if i < 60 else ""
+    docs = spark.createDataFrame([(i, f"{prose(6000 + i, 30)} {inside(i)} {prose(9000 + i, 30)}") for i in range(1500)], "doc_id long, text string")
+    found = decontaminate.leaks(spark, docs.repartition(4), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = {(i, 0) for i in range(0, 1500, 3)} | {(i, i // 3) for i in range(60) if i % 3}
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want
+
+
 def test_lcs_equals_dynamic_programme():
     r = random.Random(2)
     for _ in range(100):
