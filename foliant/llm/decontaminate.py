@@ -9,15 +9,16 @@ one pass for Z = A'A Omega, summed by Spark; the Nystrom form of it
 next pass projects every passage, takes as candidates the items at a cosine of
 ``LEAST_COSINE``, and confirms them by the longest common subsequence of words
 and by the answer (what follows an ``answer:`` mark, else the last quarter).
-Items that leak often weigh little and may leave the basis, so a passage that
-holds ``LEAST_PAIRS`` of an item's distinct word pairs (of a single word: the
+Items of more than three strides are cut into passages of two strides, too, each
+with its vector; the confirmation is on the whole item. Items that leak often weigh little and may leave the basis, so a passage that
+holds ``LEAST_PAIRS`` of an item passage's distinct word pairs (of a single word: the
 word) is a candidate too, whatever the frequencies.
 
 What is broadcast depends on the benchmark alone, which is handled in blocks of
-``ITEMS_AT_ONCE`` items; documents are only streamed. The inverse document
+``ITEMS_AT_ONCE`` item passages; documents are only streamed. The inverse document
 frequency is c / (df + c), without the logarithm: with it, common words take all
 leading singular directions, and items that leaked a few times none. The rank
-exceeds the block's items by ``OVERSAMPLE``, so each can have its direction.
+exceeds the block's item passages by ``OVERSAMPLE``, so each can have its direction.
 
 Defined cases: null or empty texts match nothing; items without words, null
 items and repeated items are ignored; rows with one id are judged together;
@@ -74,21 +75,33 @@ def _words(text: str):
     return words
 
 
+def cuts(n):
+    """Starts and ends of the passages of an item of n words."""
+    if n <= 3 * STRIDE:
+        return [(0, n)]
+    return [(min(at, n - 2 * STRIDE), min(at + 2 * STRIDE, n)) for at in range(0, n - STRIDE, STRIDE)]
+
+
 class Items:
-    """A block of benchmark items and its vocabulary."""
+    """A block of item passages (item id, text, start, end), by item, and its vocabulary."""
 
     def __init__(self, rows):
-        self.ids = [i for i, _ in rows]
-        self.words = [_words(t) for _, t in rows]
-        tails = [re.split(r"(?i)\banswer\s*:", t)[1:] for _, t in rows]
+        whole = list(dict.fromkeys((i, t) for i, t, _, _ in rows))
+        self.ids = [i for i, _ in whole]
+        self.words = [_words(t) for _, t in whole]
+        of = {i: k for k, i in enumerate(self.ids)}
+        #: the item of each passage
+        self.item = np.array([of[i] for i, _, _, _ in rows], np.int64)
+        cut = [self.words[k][a:b] for k, (_, _, a, b) in zip(self.item, rows, strict=True)]
+        tails = [re.split(r"(?i)\banswer\s*:", t)[1:] for _, t in whole]
         self.answers = [_words(t[-1]) if t and len(_words(t[-1])) else w[-max(3, len(w) // 4) :] for t, w in zip(tails, self.words, strict=True)]
-        self.grams = [np.concatenate([w, pairs(w)]) for w in self.words]
+        self.grams = [np.concatenate([w, pairs(w)]) for w in cut]
         self.vocab = np.unique(np.concatenate(self.grams)) if rows else np.zeros(0, np.uint64)
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.vocab >> np.uint64(44)).astype(np.int64)] = True
         self.weights = np.ones(len(self.vocab), np.float32)
-        # which items hold a pair (of a single word: the word), in order of terms
-        own = [np.unique(np.searchsorted(self.vocab, pairs(w) if len(w) > 1 else w)) for w in self.words]
+        # which passages hold a pair (of a single word: the word), in order of terms
+        own = [np.unique(np.searchsorted(self.vocab, pairs(w) if len(w) > 1 else w)) for w in cut]
         held = np.concatenate(own) if rows else np.zeros(0, np.int64)
         order = np.argsort(held, kind="stable")
         self.holders = np.repeat(np.arange(len(own)), [len(o) for o in own])[order]
@@ -115,7 +128,7 @@ class Items:
         self.weights[~keep] = 0
 
     def draw(self):
-        self.test = np.random.default_rng(SEED).standard_normal((len(self.vocab), min(len(self.ids) + OVERSAMPLE, len(self.vocab)))).astype(np.float32)
+        self.test = np.random.default_rng(SEED).standard_normal((len(self.vocab), min(len(self.item) + OVERSAMPLE, len(self.vocab)))).astype(np.float32)
 
     def project(self, z):
         omega = self.test.astype(np.float64)
@@ -161,7 +174,7 @@ def segments(items: Items, words, first):
 
 
 def sharing(items: Items, base, seg, term):
-    """(passage, item) where a passage holds enough of an item's distinct pairs; all occurrences are given."""
+    """(passage, item passage) where a passage holds enough of the other's distinct pairs; all occurrences are given."""
     n = np.diff(items.held_from)[term]
     at = np.repeat(np.arange(len(term)), n)
     item = items.holders[np.repeat(items.held_from[term], n) + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)]
@@ -252,7 +265,7 @@ def _search(shared):
             for start, data, offsets in ts.slices(batch.column("text")):
                 words, first = ts.scan(data, offsets, punct=True)
                 base, seg, term = occurrences(items, words, first)
-                near_by = {(int(i), int(k)): 0.0 for i, k in zip(*sharing(items, base, seg, term), strict=True)}
+                close = {(int(i), int(k)): 0.0 for i, k in zip(*sharing(items, base, seg, term), strict=True)}
                 used = items.weights[term] > 0
                 seg, term = seg[used], term[used]
                 best: dict = {}
@@ -260,12 +273,16 @@ def _search(shared):
                     some, y = passages(*by_segment(seg, basis[term]), base)
                     norm = np.sqrt(passages(*by_segment(seg, squares[term]), base)[1])
                     cos = (y @ items.vectors.T) / norm
-                    for i, k in near_by:
+                    for i, k in close:
                         at = int(np.searchsorted(some, i))
                         if at < len(some) and some[at] == i:
-                            near_by[i, k] = float(cos[at, k])
-                    near_by |= {(int(some[i]), int(k)): float(cos[i, k]) for i, k in np.argwhere(cos >= LEAST_COSINE)}
-                for (i, k), cosine in near_by.items():
+                            close[i, k] = float(cos[at, k])
+                    close |= {(int(some[i]), int(k)): float(cos[i, k]) for i, k in np.argwhere(cos >= LEAST_COSINE)}
+                found_by: dict = {}
+                for (i, k), cosine in close.items():
+                    key = i, int(items.item[k])
+                    found_by[key] = max(found_by.get(key, cosine), cosine)
+                for (i, k), cosine in found_by.items():
                     row, size = int(np.searchsorted(base, i, "right")) - 1, len(items.words[k])
                     lo = first[row] + (i - base[row]) * STRIDE
                     near = words[max(first[row], lo - size) : min(first[row + 1], lo + 2 * STRIDE + size)].tolist()
@@ -297,11 +314,12 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFra
     rows = benchmark.where("item_id is not null and text is not null").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min("text").alias("text")).orderBy("item_id")
     block, blocks = [], []
     for r in rows.toLocalIterator():
-        if len(_words(r["text"])):
-            block.append((r["item_id"], r["text"]))
-        if len(block) == ITEMS_AT_ONCE:
-            blocks.append(_search_block(spark, texts, Items(block)))
-            block = []
+        n = len(_words(r["text"]))
+        for a, b in cuts(n) if n else ():
+            block.append((r["item_id"], r["text"], a, b))
+            if len(block) == ITEMS_AT_ONCE:
+                blocks.append(_search_block(spark, texts, Items(block)))
+                block = []
     if block:
         blocks.append(_search_block(spark, texts, Items(block)))
     out = spark.createDataFrame([], FOUND)

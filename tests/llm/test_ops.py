@@ -143,6 +143,16 @@ def test_item_in_a_third_of_the_documents_is_found(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found} == want
 
 
+def test_long_items_are_found(spark):
+    items = [(k, prose(7000 + k, n)) for k, n in enumerate((30, 72, 73, 300, 600, 7000))]
+    docs = [(10 * k + j, f"{prose(8000 + j, 20 + 9 * j)} {t} {prose(8100 + j, 50)}") for k, t in items for j in range(3)]
+    docs += [(900 + j, prose(8200 + j, 700)) for j in range(20)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    found = decontaminate.leaks(spark, docs.repartition(4), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(10 * k + j, k) for k in range(6) for j in range(3)}
+    assert all(decontaminate.cuts(n)[-1][1] == n and all(b - a <= 72 for a, b in decontaminate.cuts(n)) for n in range(1, 300))
+
+
 def test_lcs_equals_dynamic_programme():
     r = random.Random(2)
     for _ in range(100):
