@@ -248,6 +248,23 @@ def test_lm_scoring_base(spark, edge):
     assert all(r["train_tokens"] == n and r["score"] < 0 for r in rows)
 
 
+def test_training_windows_cover_whole_texts():
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [prose(300, 900), "", None, prose(301, 5), "One\n" + prose(302, 40), prose(303, 700)]
+    held = [False, False, False, False, False, True]
+    got = lm_scoring._count(lm_scoring.TOKENIZERS)(pa.table({"block": [4] * 6, "held": held, "text": texts}))
+    got = [np.frombuffer(x, "<u2").tolist() for x, k in zip(got["ids"].to_pylist(), got["kind"].to_pylist(), strict=True) if k == 2]
+    enc, end, size = token_counts.encoding(), lm_scoring.END, lm_scoring.LENGTH
+    want = []
+    for t, h in zip(texts, held, strict=True):
+        ids = [end, *(i for w in WORD.findall((t or "").translate(LOW)) for i in enc.encode_ordinary(" " + w)), end]
+        for at in range(0, 0 if h else max(1, len(ids) - 1 - size + lm_scoring.STEP), lm_scoring.STEP):
+            want.append((ids[at : at + size + 1] + [65535] * size)[: size + 1])
+    assert sorted(got) == sorted(want)
+
+
 def test_gradients():
     import numpy as np
 
