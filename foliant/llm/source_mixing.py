@@ -7,7 +7,8 @@ source's counts over the shards a multinomial draw whose total is the share
 itself, so the mix meets its targets and reruns agree. Slot k takes block
 pi(k mod n) of its source, pi being a pseudorandom permutation for each source
 and epoch (swap-or-not rounds, which permute any range [0, n) without a table),
-and slots and blocks are joined by index.
+and slots and packed blocks are joined by index: the mix is a written table of
+(shard, position, words). What is taken of a document is counted from that table.
 
 Hot sources: positions come from two-level prefix sums over hash chunks of
 bounded size, and slots are generated in ranges dealt to all tasks.
@@ -31,6 +32,8 @@ ROUNDS, SEED = 10, 20240817
 SLOTS_PER_SHARD = 4096
 CHUNK_ROWS = 20_000
 RANGE = 8192
+#: As an SQL literal.
+PATTERN = "'" + WORD.replace("\\", "\\\\") + "'"
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -75,14 +78,15 @@ def permuted(index: str, n: str, *keys: str) -> str:
 def mix(spark: SparkSession, docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame, Scratch]:
     """(documents with their place in the streams, slots of the mix).
 
-    Documents: doc_id, source, size, source_size, target, sid, start, chunk, rn.
-    Slots: shard, sid, slot, epoch, block.
+    Documents: doc_id, source, size, text, source_size, target, sid, start, chunk, rn.
+    Slots: shard, position, sid, slot, epoch, block.
     """
     scratch = Scratch(spark, "mix")
     sized = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.col("text").cast("string").alias("text"),
     )
     sized = scratch.keep(sized, "sizes")
     chunks = max(1, sized.count() // CHUNK_ROWS + 1)
@@ -93,11 +97,12 @@ def mix(spark: SparkSession, docs: DataFrame, block: int = BLOCK) -> tuple[DataF
     per = per.selectExpr("sid", "chunk", "coalesce(sum(chunk_size) over (partition by sid order by chunk rows between unbounded preceding and 1 preceding), 0L) as base")
     d = d.selectExpr(
         "*",
-        "row_number() over (partition by sid, chunk order by doc_id, size) as rn",
-        "coalesce(sum(size) over (partition by sid, chunk order by doc_id, size rows between unbounded preceding and 1 preceding), 0L) as before",
+        "row_number() over (partition by sid, chunk order by doc_id, size, xxhash64(text)) as rn",
+        "coalesce(sum(size) over (partition by sid, chunk order by doc_id, size, xxhash64(text) rows between unbounded preceding and 1 preceding), 0L) as before",
     )
     d = d.join(per, ["sid", "chunk"]).withColumn("start", F.expr("base + before")).drop("base", "before")
     d = scratch.keep(d, "places")
+    scratch.drop(sized)
     n = f"cast(ceil(source_size / {block}.0D) as bigint)"
     plan = sums.where("source_size > 0").selectExpr("sid", f"{n} as n", f"least(2 * {n}, cast(round(target * {n} / source_size) as bigint)) as slots")
     total = plan.agg(F.sum("slots")).first()[0] or 0
@@ -106,27 +111,40 @@ def mix(spark: SparkSession, docs: DataFrame, block: int = BLOCK) -> tuple[DataF
     ranges = ranges.repartition(parts(spark), "sid", "g")
     slots = ranges.select("sid", "n", F.explode(F.expr(f"sequence(g * {RANGE}, least(slots, (g + 1) * {RANGE}) - 1)")).alias("slot"))
     slots = slots.selectExpr("sid", "slot", "n", "slot div n as epoch", f"cast(pmod(xxhash64({SEED}, sid, slot, 'shard'), {shards}) as bigint) as shard")
-    slots = slots.selectExpr("shard", "sid", "slot", "epoch", f"{permuted('slot % n', 'n', 'sid', 'epoch')} as block")
+    slots = slots.withColumn("position", F.expr(f"row_number() over (partition by shard order by xxhash64({SEED}, sid, slot, 'position'), sid, slot) - 1"))
+    slots = slots.selectExpr("shard", "position", "sid", "slot", "epoch", f"{permuted('slot % n', 'n', 'sid', 'epoch')} as block")
     return d, slots, scratch
 
 
-def block_spans(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Which words [first, last) of a document lie in which block; ``docs`` as mix() gives them."""
-    at = docs.where("size > 0").select("*", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"))
-    return at.selectExpr("*", f"greatest(0L, block * {block} - start) as first", f"least(size, (block + 1) * {block} - start) as last")
+def packed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(sid, block, words, pieces) of all blocks; ``docs`` as mix() gives them.
+
+    ``pieces`` are the documents in a block, in order, with their words there.
+    """
+    # the array of words is bound by a lambda, so it is made once for a document
+    first, last = f"greatest(0L, b * {block} - start)", f"least(size, (b + 1) * {block} - start)"
+    piece = f"named_struct('block', b, 'part', struct(start + {first} as at, chunk, rn, {last} - {first} as n, slice(w, cast({first} + 1 as int), cast({last} - {first} as int)) as words))"
+    pieces = f"flatten(transform(array(regexp_extract_all(text, {PATTERN}, 0)), w -> transform(sequence(start div {block}, (start + size - 1) div {block}), b -> {piece})))"
+    at = docs.where("size > 0").select("sid", F.inline(F.expr(pieces)))
+    at = at.groupBy("sid", "block").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    return at.selectExpr("sid", "block", "flatten(parts.words) as words", "transform(parts, p -> struct(p.chunk, p.rn, p.n)) as pieces")
+
+
+def dealt(docs: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The mix: (shard, position, sid, slot, epoch, block, words, pieces), a row for each slot."""
+    return slots.join(packed(docs, block), ["sid", "block"]).select("shard", "position", "sid", "slot", "epoch", "block", "words", "pieces")
 
 
-def taken(docs: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Adds ``taken``: the words of each document that the slots take, repeats counted."""
-    times = slots.groupBy("sid", "block").agg(F.count("*").alias("times"))
-    got = block_spans(docs, block).join(times, ["sid", "block"])
-    got = got.groupBy("sid", "chunk", "rn").agg(F.sum(F.expr("(last - first) * times")).alias("taken"))
+def taken(docs: DataFrame, out: DataFrame) -> DataFrame:
+    """Adds ``taken``: the words of each document in the mix ``out``, repeats counted."""
+    got = out.select("sid", F.inline("pieces")).groupBy("sid", "chunk", "rn").agg(F.sum("n").alias("taken"))
     return docs.join(got, ["sid", "chunk", "rn"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame) -> DataFrame:
     places, slots, scratch = mix(spark, docs)
-    return taken(places, slots).select("doc_id", "size", "source_size", "target", "taken", "source")
+    out = scratch.keep(dealt(places, slots), "mix")
+    return taken(places, out).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
