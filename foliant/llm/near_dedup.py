@@ -33,6 +33,8 @@ from .common import Scratch, python_batches, table
 from .components import link
 
 COORDS, MATCHES = 64, 38
+#: Words of a shingle in the pipeline's stage.
+STAGE_WORDS = 5
 #: Rows of two longs that a broadcast may hold.
 MOST_BROADCAST = 200_000
 U = np.uint64
@@ -227,10 +229,12 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group: the one with the smallest id, once.
 
+    Near means 0.8 of the shingles of five words; two words, as the query has them,
+    would link texts that differ far more.
     Of rows that repeat an id with equal text, one stays. Documents without
     words link with nothing and stay.
     """
-    found = near_duplicates(spark, docs)
+    found = near_duplicates(spark, docs, size=STAGE_WORDS)
     gone = found.where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
     kept = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
     key = F.when(F.col("doc_id").isNull(), F.uuid()).otherwise(F.concat_ws(":", "doc_id", F.xxhash64("text")))

@@ -327,6 +327,20 @@ def test_near_dedup_against_brute_force(spark, edge):
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in rows) == want
 
 
+def test_near_dedup_stage_takes_five_words(spark):
+    base = prose(400, 300).split()
+    loose = [w if k % 25 != 12 else f"other{k}" for k, w in enumerate(base)]
+    close = [w if k != 150 else "other" for k, w in enumerate(base)]
+
+    def share(a, b, n):
+        a, b = ({tuple(x[k : k + n]) for k in range(len(x) - n + 1)} for x in (a, b))
+        return len(a & b) / len(a | b)
+
+    assert share(base, loose, 2) > 0.8 > share(base, loose, 5) and share(base, close, 5) > 0.8
+    docs = spark.createDataFrame([doc(1, " ".join(base)), doc(2, " ".join(loose)), doc(3, " ".join(close))], DOCS)
+    assert sorted(r["doc_id"] for r in near_dedup.stage(spark, docs, "").collect()) == [1, 2]
+
+
 def test_token_counts(spark, edge):
     enc = token_counts.encoding()
     got = sorted((str(r["doc_id"]), r["n_tokens"]) for r in OPS["op9"](spark, edge).collect())
