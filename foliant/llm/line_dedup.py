@@ -5,16 +5,15 @@ distinct line comes from its 8-character shingles: the line as UTF-32 makes any
 shingle a constant-time slice, and the exploded shingles meet in one
 whole-stage-generated aggregate of MinHash minima (the hash xor-ed with a
 constant for each coordinate) without leaving their task, as they are dealt by
-line already. Lines longer than ``SAMPLE`` shingles use those whose hash ends in
-``tier`` zero bits, tier growing with the length; a line whose partner may lie
-in the next tier is signed in both. Bands of ``ROWS`` coordinates post the line,
+line already. Lines of more than ``SAMPLE`` distinct shingles use those whose hash ends in
+``tier`` zero bits, tier growing with the count of distinct shingles; a line
+whose partner may lie in the next tier is signed in both. Bands of ``ROWS`` coordinates post the line,
 ``components.link`` compares lines that share a band and half of all coordinates by
 exact Jaccard on full shingle sets, and one line of each component is kept: the first by document id
 and place.
 
 A pair at the limit of 0.8 shares a band with a chance of 99.5 %, at 0.9 of
-99.998 %. Lines of fewer than 4 shingles cannot be near another line at 0.8
-unless equal.
+99.998 %. Lines shorter than a shingle have none and are near equal lines only.
 
 Defined cases: null text has no lines; lines without a word are never dropped
 and never compared; a null document id orders last; rows that repeat an id are
@@ -51,10 +50,13 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 def signatures(lines: DataFrame) -> DataFrame:
     """(h, tier, m0, m1, ...) from distinct (h, line); lines dealt by h are not dealt anew."""
-    d = lines.selectExpr("h", "encode(line, 'UTF-32') as bin").selectExpr("h", "bin", f"octet_length(bin) div 4 - {SHINGLE - 1} as n").where("n >= 4")
-    d = d.selectExpr("h", "bin", "n", f"cast(greatest(0, ceil(log2(n / {SAMPLE}.0D))) as int) as tier")
-    d = d.selectExpr("h", "bin", "n", f"explode(case when 100 * n > {PERCENT} * {SAMPLE} * shiftleft(1L, tier) then array(tier, tier + 1) else array(tier) end) as tier")
-    d = d.selectExpr("h", "bin", "tier", "explode(sequence(0, cast(n - 1 as int))) as i")
+    d = lines.selectExpr("h", "encode(line, 'UTF-32') as bin").selectExpr("h", "bin", f"octet_length(bin) div 4 - {SHINGLE - 1} as positions").where("positions >= 1")
+    # a line of fewer positions lies in the lowest tier alone, so its distinct shingles need no count
+    distinct = f"size(array_distinct(transform(sequence(0, cast(positions - 1 as int)), i -> {SHINGLE_HASH})))"
+    d = d.selectExpr("h", "bin", "positions", f"case when 100 * positions > {PERCENT * SAMPLE} then {distinct} else positions end as n")
+    d = d.selectExpr("h", "bin", "positions", "n", f"cast(greatest(0, ceil(log2(n / {SAMPLE}.0D))) as int) as tier")
+    d = d.selectExpr("h", "bin", "positions", f"explode(case when 100 * n > {PERCENT} * {SAMPLE} * shiftleft(1L, tier) then array(tier, tier + 1) else array(tier) end) as tier")
+    d = d.selectExpr("h", "bin", "tier", "explode(sequence(0, cast(positions - 1 as int))) as i")
     d = d.selectExpr("h", "tier", f"{SHINGLE_HASH} as x").where("(x & (shiftleft(1L, tier) - 1)) = 0")
     return d.groupBy("h", "tier").agg(*[F.expr(f"min(x ^ {m}L)").alias(f"m{k}") for k, m in enumerate(MASKS)])
 

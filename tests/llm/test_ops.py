@@ -195,6 +195,22 @@ def test_line_dedup_against_brute_force(spark):
     assert got == want
 
 
+def test_repeated_units_against_brute_force(spark):
+    click, rule = "click here to buy ", "+----"
+    lines = [click * k for k in (5, 8, 9, 30, 200)] + ["-" * k for k in (8, 10, 90, 150, 1000)] + [rule * k for k in (2, 3, 40, 400)]
+    lines += ["=" * 7, "=" * 8, prose(500, 300), prose(500, 300) + " " + prose(501, 4), prose(502, 300), "abcdefgh", "abcdefghi", "abcdefghij"]
+    sets = [{x[k : k + 8] for k in range(len(x) - 7)} for x in lines]
+    group = list(range(len(lines)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                group = [group[j] if g == group[i] else g for g in group]
+    want = [i for i in range(len(lines)) if group.index(group[i]) != i]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    gone, _ = line_dedup.dropped_lines(spark, docs)
+    assert sorted(x["ord"] for x in gone.collect()) == want and len(want) == 11
+
+
 def test_ordinal_quality_finds_toxic_words(spark, tmp_path):
     rows, labels = [], []
     for i in range(600):
