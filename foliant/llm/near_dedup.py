@@ -15,7 +15,7 @@ Defined cases: null, empty or blank text has the empty set and links with
 nothing; its component is its own id. A text of one word has that word as its
 only shingle. Repeated rows and rows with one id are kept apart; equal texts
 always share a component. A null id never is a component's smallest unless all
-its ids are null, and such a row is kept. Other columns are not read.
+its ids are null, and such a row is kept; it links as any other. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -89,6 +89,7 @@ ROWS = T.StructType(
         T.StructField("node", T.LongType()),
         T.StructField("check", T.LongType()),
         T.StructField("sig", T.ArrayType(T.IntegerType())),
+        T.StructField("h", T.LongType()),
     ]
 )
 
@@ -112,7 +113,7 @@ def _signatures(size: int):
                         checks.append(None)
                         sigs.append(None)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(n)), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(checks, pa.int64()), pa.array(sigs, pa.list_(pa.int32()))],
+                    [ids.slice(at, len(n)), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(checks, pa.int64()), pa.array(sigs, pa.list_(pa.int32())), batch.column(2).slice(at, len(n))],
                     names=[f.name for f in ROWS],
                 )
 
@@ -165,13 +166,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 2, percent
     python_batches(spark)
     scratch = Scratch(spark, "near")
     rows = scratch.keep(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_signatures(size), ROWS),
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("h")).mapInArrow(_signatures(size), ROWS),
         "signatures",
     )
     classes = scratch.keep(
         rows.where("node is not null")
         .groupBy("node", "check")
-        .agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.first("sig").alias("sig")),
+        .agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.first("sig").alias("sig"), F.min("h").alias("h")),
         "classes",
     )
     # postings: classes under (coordinate, value), without values of one class alone
@@ -190,7 +191,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 2, percent
     # the prefix leaves members out, and lists of one
     lists = ranked.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     postings = scratch.keep(ranked.join(lists, "key", "left_semi"), "postings")
-    wanted = scratch.keep(postings.select("node").distinct().join(classes.select("node", "doc_id", "sig", "n"), "node"), "wanted")
+    wanted = scratch.keep(postings.select("node").distinct().join(classes.select("node", "doc_id", "sig", "n", "h"), "node"), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -203,11 +204,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 2, percent
             .select("a", "b")
         )
         close = scratch.keep(close, "close")
-        nodes = close.select(F.col("a").alias("node")).union(close.select("b")).distinct().join(wanted.select("node", "doc_id"), "node")
-        nodes = scratch.keep(nodes.select("doc_id", F.col("node").alias("asked")), "asked")
+        nodes = close.select(F.col("a").alias("node")).union(close.select("b")).distinct().join(wanted.select("node", "doc_id", "h"), "node")
+        nodes = scratch.keep(nodes.select("doc_id", "h", F.col("node").alias("asked")), "asked")
         # few enough ids go to all tasks; beyond that the texts are shuffled
         ids = F.broadcast(nodes) if nodes.count() <= MOST_BROADCAST else nodes
-        sets = scratch.keep(texts.join(ids, "doc_id").select("text", "asked").mapInArrow(_sets(size), "node long, values binary"), "sets")
+        # classes whose ids are all null are found by a text's hash
+        nameless = texts.where("doc_id is null").select("text", F.xxhash64("text").alias("h")).join(ids.where("doc_id is null").select("h", "asked"), "h")
+        asked = texts.join(ids, "doc_id").select("text", "asked").union(nameless.dropDuplicates(["asked"]).select("text", "asked"))
+        sets = scratch.keep(asked.mapInArrow(_sets(size), "node long, values binary"), "sets")
         one = lambda k: sets.select(F.col("node").alias(k), F.col("values").alias(f"v{k}"))
         return close.join(one("a"), "a").join(one("b"), "b").select("a", "b", "va", "vb").mapInArrow(_confirm(percent), "a long, b long")
 

@@ -343,6 +343,17 @@ def test_near_dedup_against_brute_force(spark, edge):
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in rows) == want
 
 
+def test_near_copies_without_an_id_link(spark):
+    base = prose(420, 300).split()
+    changed = lambda of: " ".join(w if k not in of else f"other{k}" for k, w in enumerate(base))
+    first, second = range(10, 130, 8), range(150, 270, 8)
+    rows = [(1, changed(first)), (None, changed(())), (None, changed(())), (3, changed(second)), (None, prose(421, 80)), (7, prose(422, 80))]
+    rows += [(None, prose(423, 90)), (None, prose(423, 90) + " more")]
+    found = near_dedup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = collections.Counter((r["doc_id"], r["component_id"]) for r in found)
+    assert got == {(1, 1): 1, (None, 1): 2, (3, 1): 1, (7, 7): 1, (None, None): 3}
+
+
 def test_near_dedup_stage_takes_five_words(spark):
     base = prose(400, 300).split()
     loose = [w if k % 25 != 12 else f"other{k}" for k, w in enumerate(base)]
