@@ -10,7 +10,7 @@ from .base import Entry
 
 
 def _cited(spark, sf_dir):
-    return a.read(spark, sf_dir, "documents").selectExpr("doc_id as id", "concat(substring(text, 1, 20), ' [', doc_id % 40, ', ', doc_id % 7 + 1, '-', doc_id % 7 + 1 + doc_id % 5, '] and [', doc_id % 60, '].') as text")
+    return a.read(spark, sf_dir, "documents").selectExpr("doc_id as id", "concat(text, ' [', doc_id % 40, ', ', doc_id % 7 + 1, '-', doc_id % 7 + 1 + doc_id % 5, '] and [', doc_id % 60, '].') as text")
 
 
 TEXT = "t AS (SELECT doc_id AS id, doc_id % 40 AS x, doc_id % 7 + 1 AS lo, doc_id % 7 + 1 + doc_id % 5 AS hi, doc_id % 60 AS y FROM documents), n AS (SELECT id, 0 AS marker, x AS number FROM t UNION ALL SELECT id, 0, unnest(range(lo, hi + 1)) FROM t UNION ALL SELECT id, 1, y FROM t)"

@@ -37,3 +37,11 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", [n for n, e in catalog.entries().items() if not e.sql])
 def test_query_runs(spark, name):
     assert catalog.entries()[name].run(spark, SF).count() > 0
+
+
+def test_citations_are_read_from_whole_texts(spark, duck):
+    from foliant.plans import linking
+
+    texts = dict(duck.execute("select doc_id, text from documents").fetchall())
+    got = linking._cited(spark, SF).collect()
+    assert len(got) == len(texts) and all(r["text"].startswith(texts[r["id"]] + " [") for r in got)
