@@ -1,10 +1,25 @@
-"""Distributed union-find and linking through inverted lists, in DataFrame operations only.
+"""Distributed union-find and exact linking of similar sets through inverted lists, in DataFrame operations only.
 
-Skew: a list that holds a third of all nodes is never paired with itself.
-Its members are first compared with a few leaders (linear in the list), the
-verified links are merged to components, and only members of *different*
-components that still share a list are paired afterwards. No link is lost: two
-nodes that share a list end in one component or are compared directly.
+Skew: a list that holds a third of all nodes is never paired with itself. Short
+lists are paired at once. The members of longer lists are centred: the
+*centre* of a group of lists is the set of elements that more than half of the
+members have, and what is compared afterwards is how each member differs from
+it. Let T(x) be the symmetric difference of x and the centre C, and
+
+    g(x) = (100 + p) |T(x)| - (100 - p) |x|.
+
+Whatever C is, two sets have a Jaccard similarity of at least p % exactly if
+
+    g(x) + g(y) <= 2 (100 + p) |T(x) & T(y)|.
+
+So the member with the least g links at once with every x for which the sum is
+not above zero, a star of links in one row for each member, and any further
+link of the rest (the *outer* members) needs common differences from the
+centre, the more the farther out. Differences that many members share are
+absorbed by the centre, and those left are mostly rare: a prefix filter with
+positions over them leaves few pairs. Lists of differences that are long again
+are centred again. No step drops a link: the bound is exact, and each pair that is left is
+verified on full sets.
 """
 
 from __future__ import annotations
@@ -57,78 +72,91 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     )
 
 
-#: Rounds of leaders; pairs are listed one by one once no more than PAIRS_EACH for a member remain.
-ROUNDS, PAIRS_EACH = 8, 4
-#: A round in which fewer than one comparison in so many finds a link is the last.
-LEAST_FOUND = 20
+#: Lists of at most SMALL nodes are paired at once, lists of differences of at
+#: most SHORT; after LEVELS centrings all lists are. None of them changes what is linked.
+SMALL, SHORT, LEVELS = 8, 256, 6
 
 
-def merge(roots: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """``roots`` (node, root) after the links (a, b) between nodes; nodes without a row are their own root."""
-    named = roots.select(F.col("node").alias("k"), "root")
-    between = (
-        links.join(named.withColumnRenamed("root", "x"), F.col("a") == F.col("k"), "left")
-        .select(F.coalesce("x", "a").alias("a"), "b")
-        .join(named.withColumnRenamed("root", "y"), F.col("b") == F.col("k"), "left")
-        .select("a", F.coalesce("y", "b").alias("b"))
-    )
-    top = scratch.keep(connected_components(between, scratch), "top")
-    moved = roots.join(top.select(F.col("node").alias("root"), F.col("root").alias("r2")), "root", "left")
-    moved = moved.select("node", F.coalesce("r2", "root").alias("root"))
-    return scratch.keep(moved.union(top.join(roots.select("node"), "node", "left_anti").select("node", "root")), "roots")
+def small_pairs(lists: DataFrame) -> DataFrame:
+    """Distinct (a, b) that meet in ``lists`` (key, node) of bounded length, and in how many."""
+    met = lists.groupBy("key").agg(F.collect_list("node").alias("v"))
+    each = "flatten(transform(v, (x, i) -> transform(slice(v, i + 2, size(v)), y -> struct(least(x, y) as a, greatest(x, y) as b))))"
+    return met.select(F.inline(F.expr(each))).groupBy("a", "b").agg(F.count("*").alias("met"))
+
 
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar."""
+    side = lambda k: sets.select(F.col("node").alias(k), F.col("s").alias(f"s{k}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    both = both.where(f"100 * least(size(sa), size(sb)) >= {percent} * greatest(size(sa), size(sb))")
+    both = both.selectExpr("a", "b", "size(sa) + size(sb) as n", "size(array_intersect(sa, sb)) as k")
+    return both.where(f"100 * k >= {percent} * (n - k)").select("a", "b")
 
-def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
-    """(node, root) of all nodes with a verified link.
 
-    ``postings``: (key, node), distinct. ``verify`` takes distinct pairs (a, b)
-    and returns those that link.
+def centred(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(links (a, b); lists of differences (key, node, outer, g, rest)) of the groups ``members`` (r, node), distinct.
 
-    Each round gives every list a new pseudorandom leader and compares each node
-    with the leader that it meets in most lists, if they are in different
-    components. Groups whose members mostly resemble each other merge in a few
-    rounds; what is left is compared pair by pair.
+    ``rest`` is the number of differences that come after this one in the order of the group.
     """
-    roots = postings.sparkSession.createDataFrame([], "node long, root long")
-    tested = None
-    for step in range(ROUNDS):
-        members = postings.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        # the lists in which more than one component meets
-        split = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(step)), "node", "root")).alias("l"))
-        split = split.where("lo <> hi").select("key", F.col("l.node").alias("leader"), F.col("l.root").alias("leading"))
-        members = scratch.keep(members.join(split, "key"), "members")
-        kinds = members.groupBy("key", "root").agg(F.count("*").alias("n"))
-        load = kinds.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("s"))
-        load = load.agg(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2).alias("pairs"), F.sum("n").alias("members")).first()
-        if not load["pairs"] or step and load["pairs"] <= PAIRS_EACH * load["members"]:
-            break
-        stars = members.where("root <> leading").groupBy("node", "leader").agg(F.count("*").alias("n"))
-        stars = stars.groupBy("node").agg(F.max(F.struct("n", "leader")).alias("best"))
-        stars = scratch.keep(stars.select(F.least("node", "best.leader").alias("a"), F.greatest("node", "best.leader").alias("b")).distinct(), "stars")
-        tested = stars if tested is None else tested.union(stars)
-        links = scratch.keep(verify(stars).select("a", "b"), "links")
-        scratch.drop(members)
-        found = links.count()
-        if found:
-            roots = merge(roots, links, scratch)
-        if found * LEAST_FOUND < stars.count():  # the lists' members are not alike
-            members = postings.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-            break
-    else:
-        members = postings.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    # lists within one component are done
-    apart = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    members = members.join(apart, "key", "left_semi")
-    kinds = members.select("key", "root").distinct()
-    meets = (
-        kinds.alias("x")
-        .join(kinds.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")))
-        .select("x.key", F.col("x.root").alias("ra"), F.col("y.root").alias("rb"))
+    up, down = 100 + percent, 100 - percent
+    full = members.join(sets, "node")
+    counts = full.select("r", F.explode("s").alias("e")).groupBy("r", "e").agg(F.count("*").alias("c"))
+    centre = counts.join(members.groupBy("r").agg(F.count("*").alias("m")), "r").where("2 * c > m").groupBy("r").agg(F.collect_list("e").alias("centre"))
+    moved = full.join(centre, "r", "left").withColumn("centre", F.coalesce("centre", F.array().cast("array<bigint>")))
+    moved = moved.selectExpr("r", "node", "size(s) as n", "concat(array_except(s, centre), transform(array_except(centre, s), x -> ~x)) as d")
+    moved = scratch.keep(moved.selectExpr("r", "node", "d", "size(d) as t", f"{up}L * size(d) - {down}L * n as g"), "moved")
+    best = moved.groupBy("r").agg(F.min(F.struct("g", "node")).alias("best"))
+    placed = moved.join(best.select("r", F.col("best.g").alias("gb"), F.col("best.node").alias("first")), "r")
+    links = placed.where("g + gb <= 0 and node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    outer = placed.where("g + gb > 0").groupBy("r").agg(F.min("g").alias("go"))
+    rows = placed.join(outer, "r").selectExpr("r", "node", "d", "t", "g", "g + gb > 0 as outer", f"t + 1 - greatest(1, ceil((g + case when g + gb > 0 then gb else go end) / {2 * up}.0D)) as prefix")
+    each = rows.where("prefix >= 1").select("r", "node", "t", "g", "outer", "prefix", F.explode("d").alias("e"))
+    # differences of one member alone, or of no outer one, link nothing and come first in the order
+    shared = each.groupBy("r", "e").agg(F.count("*").alias("c"), F.max("outer").alias("any")).where("c > 1 and any").select("r", "e", "c")
+    ranked = each.join(shared, ["r", "e"]).selectExpr(
+        "*", "t - count(*) over (partition by r, node) + row_number() over (partition by r, node order by c, e) as place"
     )
-    left = members.select("key", F.col("root").alias("ra"), F.col("node").alias("na"))
-    right = members.select("key", F.col("root").alias("rb"), F.col("node").alias("nb"))
-    pairs = meets.join(left, ["key", "ra"]).join(right, ["key", "rb"]).select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
-    if tested is not None:
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
-    links = scratch.keep(verify(scratch.keep(pairs, "pairs")).select("a", "b"), "links")
-    return roots if links.isEmpty() else merge(roots, links, scratch)
+    lists = ranked.where("place <= prefix").selectExpr("xxhash64(r, e) as key", "node", "outer", "g", "t - place as rest")
+    return links, scratch.keep(lists, "differences")
+
+
+def link(postings: DataFrame, near: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
+    """(node, root) of all nodes with a link.
+
+    ``postings``: (key, node), distinct; nodes of one list may link. ``near``
+    leaves of the pairs (a, b) those that may be similar, by their signatures.
+    ``sets`` gives (node, s), the sets of the nodes asked for, as arrays of distinct longs.
+    """
+    up = 100 + percent
+    sized = scratch.keep(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    listed = scratch.keep(postings.join(sized, "key"), "listed")
+    pairs = [scratch.keep(near(small_pairs(listed.where(f"n <= {SMALL}"))).select("a", "b"), "pairs")]
+    # groups of long lists are named by a member of them; one that is in many long lists joins most of them
+    long = listed.where(f"n > {SMALL}").select("key", "node", "n")
+    reach = long.join(long.groupBy("node").agg(F.sum("n").alias("reach")), "node")
+    names = reach.groupBy("key").agg(F.max(F.struct("reach", "node")).alias("r")).select("key", F.col("r.node").alias("r"))
+    members = scratch.keep(long.join(names, "key").select("r", "node").distinct(), "members")
+    asked = members.select("node").union(pairs[0].select(F.col("a").alias("node"))).union(pairs[0].select("b")).distinct()
+    known = scratch.keep(sets(asked), "sets")
+    links = []
+    for level in range(LEVELS):
+        if members.isEmpty():
+            break
+        stars, lists = centred(members, known, percent, scratch)
+        links.append(stars)
+        sizes = lists.groupBy("key").agg(F.count("*").alias("n"), F.max("outer").alias("any"), F.min(F.struct("g", "node")).alias("low"))
+        sizes = sizes.where("n > 1 and any").select("key", "n", F.col("low.node").alias("r"))
+        lists = scratch.keep(lists.join(sizes, "key"), "lists")
+        here = lists.where(f"n <= {SHORT}") if level + 1 < LEVELS else lists
+        x = here.where("outer").select("key", F.col("node").alias("x"), F.col("g").alias("gx"), F.col("rest").alias("rx"))
+        y = here.select("key", F.col("node").alias("y"), F.col("g").alias("gy"), F.col("rest").alias("ry"), "outer")
+        met = x.join(y, "key").where(f"(x < y or x > y and not outer) and {2 * up} * (1 + least(rx, ry)) >= gx + gy")
+        pairs.append(scratch.keep(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs"))
+        members = scratch.keep(lists.where(f"n > {SHORT}").select("r", "node").distinct(), "members") if level + 1 < LEVELS else members.limit(0)
+    every = pairs[0]
+    for p in pairs[1:]:
+        every = every.union(p)
+    found = verified(every.distinct(), known, percent)
+    for stars in links:
+        found = found.union(stars)
+    return scratch.keep(connected_components(found, scratch), "roots")

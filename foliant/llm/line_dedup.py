@@ -1,137 +1,139 @@
 """Operator 4: fuzzy line deduplication by MinHash, in DataFrame operations only.
 
 Equal lines collapse first (64-bit hash of the line). The signature of a
-distinct line comes from its 8-character shingles: the line as UTF-32 makes any
+distinct line comes from all its distinct 8-character shingles: the line as UTF-32 makes any
 shingle a constant-time slice, and the exploded shingles meet in one
-whole-stage-generated aggregate of MinHash minima (the hash xor-ed with a
-constant for each coordinate) without leaving their task, as they are dealt by
-line already. Lines of more than ``SAMPLE`` distinct shingles use those whose hash ends in
-``tier`` zero bits, tier growing with the count of distinct shingles; a line
-whose partner may lie in the next tier is signed in both. Bands of ``ROWS`` coordinates post the line,
-``components.link`` compares lines that share a band and half of all coordinates by
-exact Jaccard on full shingle sets, and one line of each component is kept: the first by document id
-and place.
+whole-stage-generated aggregate of MinHash minima (classes of shingles by hash, and
+the hash xor-ed with a constant for each coordinate of a class) without leaving
+their task, as they are dealt by line already. Bands of ``ROWS`` coordinates post the line,
+``components.link`` compares lines that share a band by
+exact Jaccard on full shingle sets, and one line of each component is kept: the first by document id,
+text hash and place.
 
 A pair at the limit of 0.8 shares a band with a chance of 99.5 %, at 0.9 of
 99.998 %. Lines shorter than a shingle have none and are near equal lines only.
 
 Defined cases: null text has no lines; lines without a word are never dropped
-and never compared; a null document id orders last; rows that repeat an id are
-judged as one document; extra columns are kept as they are.
+and never compared; a null document id orders last; rows are judged by id and
+text, so rows that repeat an id with another text, or have none, are documents of
+their own; of rows that agree in both, the first keeps what the text keeps and
+the others lose every line with a word; extra columns are passed on under any name.
 """
 
 from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, Scratch, table
 from .components import link
 
-SHINGLE, BANDS, ROWS, SAMPLE, PERCENT, MATCHES = 8, 10, 4, 128, 80, 20
+SHINGLE, BANDS, ROWS, PERCENT, MATCHES = 8, 10, 4, 80, 20
 #: Rows of one long that a broadcast may hold.
 MOST_BROADCAST = 400_000
 LAST = (1 << 63) - 1
 _random = random.Random(20240817)
-MASKS = [_random.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
+CLASSES, FUNCTIONS = 8, BANDS * ROWS // 8
+MASKS = [_random.getrandbits(64) - (1 << 63) for _ in range(FUNCTIONS)]
+_deals = [_random.sample(range(CLASSES), CLASSES) for _ in range(FUNCTIONS)]
+#: The coordinates of each band, one of each of ROWS classes.
+BAND = [[CLASSES * j + c for c in deal[at : at + ROWS]] for j, deal in enumerate(_deals) for at in range(0, CLASSES, ROWS)]
 SHINGLE_HASH = f"xxhash64(substring(bin, 4 * i + 1, {4 * SHINGLE}))"
 
 
+def named(docs: DataFrame, *more) -> DataFrame:
+    """(ord, th, ...): what a row is known by, its id and its text's hash."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("ord"), F.xxhash64(F.col("text").cast("string")).alias("th"), *more)
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(h, ord, pos, line) of every line that holds a word."""
-    lines = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("ord"),
-        F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("pos", "line"),
-    )
-    return lines.where(F.col("line").rlike(WORD)).select(F.xxhash64("line").alias("h"), "ord", "pos", "line")
+    """(h, ord, th, pos, line) of every line that holds a word."""
+    lines = named(docs, F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("pos", "line"))
+    return lines.where(F.col("line").rlike(WORD)).select(F.xxhash64("line").alias("h"), "ord", "th", "pos", "line")
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """(h, tier, m0, m1, ...) from distinct (h, line); lines dealt by h are not dealt anew."""
-    d = lines.selectExpr("h", "encode(line, 'UTF-32') as bin").selectExpr("h", "bin", f"octet_length(bin) div 4 - {SHINGLE - 1} as positions").where("positions >= 1")
-    # a line of fewer positions lies in the lowest tier alone, so its distinct shingles need no count
-    distinct = f"size(array_distinct(transform(sequence(0, cast(positions - 1 as int)), i -> {SHINGLE_HASH})))"
-    d = d.selectExpr("h", "bin", "positions", f"case when 100 * positions > {PERCENT * SAMPLE} then {distinct} else positions end as n")
-    d = d.selectExpr("h", "bin", "positions", "n", f"cast(greatest(0, ceil(log2(n / {SAMPLE}.0D))) as int) as tier")
-    d = d.selectExpr("h", "bin", "positions", f"explode(case when 100 * n > {PERCENT} * {SAMPLE} * shiftleft(1L, tier) then array(tier, tier + 1) else array(tier) end) as tier")
-    d = d.selectExpr("h", "bin", "tier", "explode(sequence(0, cast(positions - 1 as int))) as i")
-    d = d.selectExpr("h", "tier", f"{SHINGLE_HASH} as x").where("(x & (shiftleft(1L, tier) - 1)) = 0")
-    return d.groupBy("h", "tier").agg(*[F.expr(f"min(x ^ {m}L)").alias(f"m{k}") for k, m in enumerate(MASKS)])
-
-
-def band_keys(lines: DataFrame) -> DataFrame:
-    """(key, node) from distinct (h, line)."""
-    low = signatures(lines)
-    bands = [F.xxhash64(F.lit(b), "tier", *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
-    return low.select(F.col("h").alias("node"), F.explode(F.array(*bands)).alias("key"))
-
-
-def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs that agree on MATCHES coordinates in a tier; at the limit of 0.8 about 32 of 40 are expected."""
-    side = lambda k: sigs.select(F.col("h").alias(k), "tier", F.col("sig").alias(f"s{k}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), ["b", "tier"])
-    return both.where(f"size(filter(zip_with(sa, sb, (x, y) -> x = y), x -> x)) >= {MATCHES}").select("a", "b").distinct()
-
-
-def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets overlap by PERCENT."""
-    side = lambda k: texts.selectExpr(f"h as {k}", f"encode(line, 'UTF-32') as bin{k}", f"length(line) as n{k}")
-    joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    sets = lambda k: f"array_distinct(transform(sequence(0, octet_length(bin{k}) div 4 - {SHINGLE}), i -> {SHINGLE_HASH.replace('bin', f'bin{k}')}))"
-    joined = joined.selectExpr("a", "b", f"{sets('a')} as sa", f"{sets('b')} as sb")
-    joined = joined.selectExpr("a", "b", "size(sa) as na", "size(sb) as nb", "size(array_intersect(sa, sb)) as both")
-    # the generator keeps the test above the arrays, which are then made once
-    joined = joined.selectExpr("a", "b", "inline(array(struct(na, nb, both)))")
-    return joined.where(f"100 * both >= {PERCENT} * (na + nb - both)").select("a", "b")
+    """(h, sig) from distinct (h, line); lines dealt by h are not dealt anew.
+
+    One permutation in ``CLASSES``: a shingle counts in the class that its hash names, under FUNCTIONS
+    minima each. A class without shingles borrows from the next that has one.
+    """
+    d = lines.selectExpr("h", "encode(line, 'UTF-32') as bin").selectExpr("h", "bin", f"octet_length(bin) div 4 - {SHINGLE - 1} as n").where("n >= 1")
+    d = d.selectExpr("h", "bin", "explode(sequence(0, cast(n - 1 as int))) as i").selectExpr("h", f"{SHINGLE_HASH} as x")
+    d = d.groupBy("h", F.expr(f"x & {CLASSES - 1}").alias("class")).agg(*[F.expr(f"min(x ^ {m}L)").alias(f"m{j}") for j, m in enumerate(MASKS)])
+    own = [F.max(F.when(F.col("class") == c, F.col(f"m{j}"))).alias(f"m{c}_{j}") for c in range(CLASSES) for j in range(FUNCTIONS)]
+    lent = lambda c, j: F.coalesce(*[F.col(f"m{(c + k) % CLASSES}_{j}") + F.lit(k) for k in range(CLASSES)])
+    return d.groupBy("h").agg(*own).select("h", F.array(*[lent(c, j) for j in range(FUNCTIONS) for c in range(CLASSES)]).alias("sig"))
+
+
+def shingle_sets(lines: DataFrame) -> DataFrame:
+    """(node, s) from distinct (h, line): the distinct shingles' hashes."""
+    d = lines.selectExpr("h", "encode(line, 'UTF-32') as bin").where(f"octet_length(bin) >= {4 * SHINGLE}")
+    return d.selectExpr("h as node", f"array_distinct(transform(sequence(0, octet_length(bin) div 4 - {SHINGLE}), i -> {SHINGLE_HASH})) as s")
 
 
 def line_classes(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame, Scratch]:
-    """(occurrences (h, ord, pos); (h, first_ord, first_pos) of lines that repeat, exactly or nearly)."""
+    """(occurrences (h, ord, th, pos); (h, first) of lines that repeat, exactly or nearly; first is a struct of ord, th and pos)."""
     scratch = Scratch(spark, "lines")
     lines = occurrences(docs)
-    places = scratch.keep(lines.select("h", "ord", "pos"), "places")
+    places = scratch.keep(lines.select("h", "ord", "th", "pos"), "places")
     distinct = lines.groupBy("h").agg(F.first("line").alias("line"))
-    keys = band_keys(distinct)
-    postings = keys.selectExpr("key", "node", "count(*) over (partition by key) as c").where("c > 1")
-    postings = scratch.keep(postings.select("key", "node").distinct(), "postings")
-    wanted = scratch.keep(postings.select(F.col("node").alias("h")).distinct(), "wanted")
-    # few enough hashes go to all tasks; beyond that the lines are shuffled
-    asked = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted
-    texts = scratch.keep(lines.select("h", "line").join(asked, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")), "texts")
-    sigs = signatures(texts).select("h", "tier", F.array(*[F.shiftright(f"m{k}", 32).cast("int") for k in range(BANDS * ROWS)]).alias("sig"))
-    sigs = scratch.keep(sigs, "signatures")
-    roots = link(postings, lambda pairs: _similar(scratch.keep(_agreeing(pairs, sigs), "agreeing"), texts), scratch)
-    firsts = places.groupBy("h").agg(F.min(F.struct("ord", "pos")).alias("first"), F.count("*").alias("c"))
+    sigs = signatures(distinct)
+    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col("sig")[k] for k in band]) for b, band in enumerate(BAND)])
+    # half of each coordinate tells agreement from chance
+    sigs = scratch.keep(sigs.select("h", keys.alias("keys"), F.expr("transform(sig, x -> cast(shiftright(x, 32) as int))").alias("sig")), "signatures")
+    postings = sigs.select(F.explode("keys").alias("key"), F.col("h").alias("node")).distinct()
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """At the limit of 0.8 about 32 of 40 coordinates are expected to agree."""
+        side = lambda k: sigs.select(F.col("h").alias(k), F.col("sig").alias(f"s{k}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        return both.where(f"size(filter(zip_with(sa, sb, (x, y) -> x = y), x -> x)) >= {MATCHES}")
+
+    def sets(asked: DataFrame) -> DataFrame:
+        asked = scratch.keep(asked.select(F.col("node").alias("h")), "asked")
+        # few enough hashes go to all tasks; beyond that the lines are shuffled
+        asked = F.broadcast(asked) if asked.count() <= MOST_BROADCAST else asked
+        return shingle_sets(lines.select("h", "line").join(asked, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")))
+
+    roots = link(postings, near, sets, PERCENT, scratch)
+    firsts = places.groupBy("h").agg(F.min(F.struct("ord", "th", "pos")).alias("first"), F.count("*").alias("c"))
     firsts = firsts.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").where("c > 1 or root is not null")
-    firsts = firsts.select("h", "first", F.coalesce("root", "h").alias("root"))
+    firsts = scratch.keep(firsts.select("h", "first", F.coalesce("root", "h").alias("root")), "repeated")
     least = firsts.groupBy("root").agg(F.min("first").alias("first"))
-    firsts = firsts.select("h", "root").join(least, "root").select("h", F.col("first.ord").alias("first_ord"), F.col("first.pos").alias("first_pos"))
-    return places, scratch.keep(firsts, "firsts"), scratch
+    return places, scratch.keep(firsts.select("h", "root").join(least, "root").select("h", "first"), "firsts"), scratch
 
 
 def dropped_lines(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((ord, dropped positions) of documents that lose lines; the lines' places)."""
+    """((ord, th, dropped positions) of texts that lose lines; (ord, th, n_lines, rows) of texts with lines)."""
     places, firsts, scratch = line_classes(spark, docs)
-    gone = places.join(firsts, "h").where("ord <> first_ord or pos <> first_pos")
-    return scratch.keep(gone.groupBy("ord").agg(F.sort_array(F.collect_set("pos")).alias("dropped")), "gone"), places
+    gone = places.join(firsts, "h").where("ord <> first.ord or th <> first.th or pos <> first.pos")
+    gone = scratch.keep(gone.groupBy("ord", "th").agg(F.sort_array(F.collect_set("pos")).alias("dropped")), "gone")
+    counts = places.groupBy("ord", "th").agg(F.countDistinct("pos").alias("n_lines"), F.count("*").alias("all"))
+    return gone, counts.selectExpr("ord", "th", "n_lines", "`all` div n_lines as rows")
+
+
+def judged(spark: SparkSession, docs: DataFrame, *more) -> DataFrame:
+    """(ord, th, ..., n_lines, dropped, again) for each row; again: an equal row comes before it."""
+    gone, counts = dropped_lines(spark, docs)
+    rows = named(docs, *more).join(counts, ["ord", "th"], "left").join(gone, ["ord", "th"], "left")
+    once = rows.where("coalesce(rows, 1) = 1").withColumn("again", F.lit(False))
+    several = rows.where("rows > 1")
+    return once.union(several.withColumn("again", F.row_number().over(Window.partitionBy("ord", "th").orderBy(F.lit(0))) > 1))
+
+
+WITH_WORD = "filter(sequence(0, size(lines) - 1), i -> rlike(lines[i], '{}'))".format(WORD.replace("\\", "\\\\"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document: lines with a word, lines kept, positions of those dropped."""
     docs = table(spark, sf_dir, "documents")
-    gone, places = dropped_lines(spark, docs)
-    counts = places.groupBy("ord").agg(F.countDistinct("pos").alias("n_lines"))
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("ord"))
-    out = rows.join(counts, "ord", "left").join(gone, "ord", "left")
-    dropped = F.coalesce("dropped", F.array().cast("array<int>"))
-    return out.select(
-        "doc_id",
-        F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"),
-        (F.coalesce("n_lines", F.lit(0)) - F.size(dropped)).cast("long").alias("n_kept"),
-        dropped.alias("dropped"),
-    )
+    out = judged(spark, docs, "doc_id", F.split(F.col("text").cast("string"), "\n").alias("lines"))
+    dropped = F.when(F.col("again"), F.expr(WITH_WORD)).otherwise(F.coalesce("dropped", F.array().cast("array<int>")))
+    out = out.select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), dropped.alias("dropped"))
+    return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("dropped")).cast("long").alias("n_kept"), "dropped")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -139,11 +141,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents that had no such line stay as they are. ``n_chars`` follows the text.
     """
-    gone, _ = dropped_lines(spark, docs)
-    d = docs.withColumn("_ord", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).join(gone.withColumnRenamed("ord", "_ord").withColumnRenamed("dropped", "_gone"), "_ord", "left")
-    d = d.withColumn("_lines", F.split("text", "\n"))
-    kept = "transform(array_except(sequence(0, size(_lines) - 1), _gone), i -> _lines[i])"
-    d = d.withColumn("_text", F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.expr(f"array_join({kept}, '\\n')")))
-    made = [F.col("_text").alias(c) if c == "text" else F.length("_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    d = d.select(*made, F.inline(F.array(F.struct(F.col("_gone").isNotNull().alias("_cut"), F.col("_text").rlike(WORD).alias("_left")))))
-    return d.where("not _cut or _left or text is null").select(*docs.columns)
+    # the row itself goes along as one struct, so that no column's name can clash
+    d = judged(spark, docs, F.struct("*").alias("row")).where("not again")
+    d = d.withColumn("lines", F.split(F.col("row.text").cast("string"), "\n"))
+    kept = "array_join(transform(array_except(sequence(0, size(lines) - 1), dropped), i -> lines[i]), '\\n')"
+    d = d.select("row", F.inline(F.expr(f"array(struct(dropped is not null as cut, case when dropped is null then row.text else {kept} end as text))")))
+    d = d.where(F.expr("not cut") | F.col("text").rlike(WORD))
+    made = {"text": F.col("text").cast(docs.schema["text"].dataType), "n_chars": F.length("text").cast("long")}
+    return d.select(*[F.when(F.col("cut"), made[c]).otherwise(F.col("row")[c]).alias(c) if c in made else F.col("row")[c].alias(c) for c in docs.columns])

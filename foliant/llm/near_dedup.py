@@ -9,13 +9,14 @@ in one of the ``COORDS - MATCHES + 1`` rarest postings of both (prefix), values
 that nobody else has being rarest of all: a class whose unique values fill the
 prefix is skipped altogether. Pairs of a list are counted, those of unlike size
 or with too few agreeing coordinates are skipped, and the rest are confirmed on
-full sets. ``components.link`` keeps hot lists linear.
+full sets. ``components.link`` centres long lists, so that none is paired with itself.
 
 Defined cases: null, empty or blank text has the empty set and links with
 nothing; its component is its own id. A text of one word has that word as its
 only shingle. Repeated rows and rows with one id are kept apart; equal texts
 always share a component. A null id never is a component's smallest unless all
-its ids are null, and such a row is kept; it links as any other. Other columns are not read.
+its ids are null, and such a row is kept; it links as any other. Other columns are not read by the
+query; the stage passes them on under any name.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ COORDS, MATCHES = 64, 38
 STAGE_WORDS = 5
 #: Rows of two longs that a broadcast may hold.
 MOST_BROADCAST = 200_000
+#: Stands for a null id, which orders last.
+LAST = (1 << 63) - 1
 U = np.uint64
 _rng = np.random.default_rng(20240817)
 MULT = _rng.integers(0, 1 << 63, COORDS, dtype=np.int64).astype(U) * U(2) + U(1)
@@ -89,6 +92,7 @@ ROWS = T.StructType(
         T.StructField("node", T.LongType()),
         T.StructField("check", T.LongType()),
         T.StructField("sig", T.ArrayType(T.IntegerType())),
+        T.StructField("id", T.LongType()),
         T.StructField("h", T.LongType()),
     ]
 )
@@ -113,7 +117,7 @@ def _signatures(size: int):
                         checks.append(None)
                         sigs.append(None)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(n)), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(checks, pa.int64()), pa.array(sigs, pa.list_(pa.int32())), batch.column(2).slice(at, len(n))],
+                    [ids.slice(at, len(n)), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(checks, pa.int64()), pa.array(sigs, pa.list_(pa.int32())), batch.column(2).slice(at, len(n)), batch.column(3).slice(at, len(n))],
                     names=[f.name for f in ROWS],
                 )
 
@@ -121,58 +125,32 @@ def _signatures(size: int):
 
 
 def _sets(size: int):
-    """Rows (node, values) of texts whose set is the one asked for; rows with one id may bring others along."""
+    """Rows (node, s) of texts with the set's values, cut to 48 bits; texts whose set is another one than that asked for give none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, data, offsets in ts.slices(batch.column(0)):
                 words, first = ts.scan(data, offsets)
                 asked = batch.column(1).slice(at, len(first) - 1).to_pylist()
-                sets = [(k, pack(v)) for k, v in zip(asked, shingle_sets(words, first, size), strict=True) if len(v) and set_key(v)[0] == k]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k for k, _ in sets], pa.int64()), pa.array([v for _, v in sets], pa.binary())], names=["node", "values"]
-                )
+                sets = [(k, np.unique(v >> U(16)).astype(np.int64)) for k, v in zip(asked, shingle_sets(words, first, size), strict=True) if len(v) and set_key(v)[0] == k]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sets], pa.int64()), pa.array([v for _, v in sets], pa.list_(pa.int64()))], names=["node", "s"])
 
     return run
 
 
-def pack(values):
-    """The upper 40 bits of each value; two sets of 5,000 share one by chance in about 2 of 100,000 pairs."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes()
-
+def identity(docs: DataFrame) -> list:
+    """Columns that name a row by id and text; rows that agree in both can't be told apart and needn't be."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("h")]
 
-def unpack(data):
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, 3:] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
 
-
-def _confirm(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (unpack(v.as_buffer()) for v in (x, y))
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * both >= least * (len(x) + len(y) - both))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-    return run
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
+def classes_of(spark: SparkSession, docs: DataFrame, size: int = 2, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, n_shingles, node, id, h) of every row; (node, root) of the sets with a link)."""
     python_batches(spark)
     scratch = Scratch(spark, "near")
-    rows = scratch.keep(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("h")).mapInArrow(_signatures(size), ROWS),
-        "signatures",
-    )
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = scratch.keep(texts.select("doc_id", "text", *identity(texts)).mapInArrow(_signatures(size), ROWS), "signatures")
     classes = scratch.keep(
-        rows.where("node is not null")
-        .groupBy("node", "check")
-        .agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.first("sig").alias("sig"), F.min("h").alias("h")),
+        rows.where("node is not null").groupBy("node", "check").agg(F.min(F.struct("id", "h")).alias("of"), F.max("n_shingles").alias("n"), F.first("sig").alias("sig")).select("node", "n", "sig", "of.*"),
         "classes",
     )
     # postings: classes under (coordinate, value), without values of one class alone
@@ -180,48 +158,38 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 2, percent
     posted = posted.select(
         "node", F.shiftleft(F.col("coord").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key")
     )
-    shared = posted.selectExpr("key", "node", "count(*) over (partition by key) as c").where("c > 1")
+    common = posted.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     # prefix: the rarest COORDS - MATCHES + 1, of which unshared ones come first
     prefix = COORDS - MATCHES + 1
-    ranked = shared.selectExpr(
+    ranked = posted.join(common, "key").selectExpr(
         "key", "node",
         f"row_number() over (partition by node order by c, key) + {COORDS} - count(*) over (partition by node) as place",
     )
-    ranked = scratch.keep(ranked.where(f"place <= {prefix}").select("key", "node"), "prefixes")
-    # the prefix leaves members out, and lists of one
-    lists = ranked.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    postings = scratch.keep(ranked.join(lists, "key", "left_semi"), "postings")
-    wanted = scratch.keep(postings.select("node").distinct().join(classes.select("node", "doc_id", "sig", "n", "h"), "node"), "wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    postings = scratch.keep(ranked.where(f"place <= {prefix}").select("key", "node"), "prefixes")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        side = lambda k: classes.select(F.col("node").alias(k), F.col("sig").alias(f"s{k}"), F.col("n").alias(f"n{k}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+        return both.where(f"size(filter(zip_with(sa, sb, (x, y) -> x = y), x -> x)) >= {MATCHES}")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda k: wanted.select(F.col("node").alias(k), F.col("sig").alias(f"s{k}"), F.col("n").alias(f"n{k}"))
-        close = (
-            pairs.join(side("a"), "a")
-            .join(side("b"), "b")
-            .where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-            .where(f"size(filter(zip_with(sa, sb, (x, y) -> x = y), x -> x)) >= {MATCHES}")
-            .select("a", "b")
-        )
-        close = scratch.keep(close, "close")
-        nodes = close.select(F.col("a").alias("node")).union(close.select("b")).distinct().join(wanted.select("node", "doc_id", "h"), "node")
-        nodes = scratch.keep(nodes.select("doc_id", "h", F.col("node").alias("asked")), "asked")
+    def sets(asked: DataFrame) -> DataFrame:
+        ids = scratch.keep(asked.join(classes.select("node", "id", "h"), "node"), "asked")
         # few enough ids go to all tasks; beyond that the texts are shuffled
-        ids = F.broadcast(nodes) if nodes.count() <= MOST_BROADCAST else nodes
-        # classes whose ids are all null are found by a text's hash
-        nameless = texts.where("doc_id is null").select("text", F.xxhash64("text").alias("h")).join(ids.where("doc_id is null").select("h", "asked"), "h")
-        asked = texts.join(ids, "doc_id").select("text", "asked").union(nameless.dropDuplicates(["asked"]).select("text", "asked"))
-        sets = scratch.keep(asked.mapInArrow(_sets(size), "node long, values binary"), "sets")
-        one = lambda k: sets.select(F.col("node").alias(k), F.col("values").alias(f"v{k}"))
-        return close.join(one("a"), "a").join(one("b"), "b").select("a", "b", "va", "vb").mapInArrow(_confirm(percent), "a long, b long")
-
-    roots = link(postings, verify, scratch)
-    named = classes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    labels = named.join(least, "root").select("node", "component_id")
+        ids = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+        found = texts.select("text", *identity(texts)).join(ids, ["id", "h"]).select("text", "node")
+        return found.mapInArrow(_sets(size), "node long, s array<long>").groupBy("node").agg(F.first("s").alias("s"))
+
+    return rows, link(postings, near, sets, percent, scratch)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
+    rows, roots = classes_of(spark, docs, size, percent)
+    named = rows.join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
+    least = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return (
-        rows.join(labels, "node", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        named.join(least, "root", "left")
+        .select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
@@ -231,18 +199,22 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: the one with the smallest id, once.
+    """Keeps one row of each group: the one with the smallest id, null ids last, then by text hash.
 
     Near means 0.8 of the shingles of five words; two words, as the query has them,
-    would link texts that differ far more.
-    Of rows that repeat an id with equal text, one stays. Documents without
-    words link with nothing and stay.
+    would link texts that differ far more. Rows are judged by id and text, so rows that
+    repeat an id with another text, or have none, stand for themselves. Of rows that agree in both one
+    stays. Documents without words link with nothing and all stay.
     """
-    found = near_duplicates(spark, docs, size=STAGE_WORDS)
-    gone = found.where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
-    key = F.when(F.col("doc_id").isNull(), F.uuid()).otherwise(F.concat_ws(":", "doc_id", F.xxhash64("text")))
-    return kept.withColumn("_key", key).dropDuplicates(["_key"]).drop("_key")
+    rows, roots = classes_of(spark, docs, size=STAGE_WORDS)
+    named = rows.where("node is not null").join(roots, "node", "left").select("id", "h", F.coalesce("root", "node").alias("root"))
+    keeper = named.groupBy("root").agg(F.min(F.struct("id", "h")).alias("k")).select("root", "k.*")
+    gone = named.join(keeper.withColumnsRenamed({"id": "kid", "h": "kh"}), "root").where("id <> kid or h <> kh").select("id", "h").distinct()
+    repeated = named.groupBy("id", "h").agg(F.count("*").alias("c")).where("c > 1").select("id", "h", F.lit(True).alias("repeated"))
+    # the row itself goes along as one struct, so that no column's name can clash
+    kept = docs.select(F.struct("*").alias("row"), *identity(docs)).join(gone, ["id", "h"], "left_anti").join(repeated, ["id", "h"], "left")
+    once = kept.where("repeated").dropDuplicates(["id", "h"])
+    return kept.where("repeated is null").union(once).select("row.*")
 
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
