@@ -4,7 +4,7 @@ Documents are cut into overlapping passages of two strides. TF-IDF counts run
 over the benchmark's words (alphanumeric runs, A-Z lower-cased) and word pairs, terms in
 more than ``MOST_DF`` of the segments being dropped unless they are among an
 item's ``KEEP_TERMS`` rarest. A randomised SVD of the passages' matrix A needs
-one pass for Z = A'A Omega, summed by Spark; the Nystrom form of it
+sums Z = A'A Omega, summed by Spark; the Nystrom form of it
 (Halko, Martinsson, Tropp 2011) gives the leading right singular vectors. The
 next pass projects every passage, takes as candidates the items at a cosine of
 ``LEAST_COSINE``, and confirms them by the longest common subsequence of words
@@ -15,7 +15,8 @@ holds ``LEAST_PAIRS`` of an item passage's distinct word pairs (of a single word
 word) is a candidate too, whatever the frequencies.
 
 What is broadcast depends on the benchmark alone, which is handled in blocks of
-``ITEMS_AT_ONCE`` item passages; documents are only streamed. The inverse document
+``ITEMS_AT_ONCE`` item passages; documents are streamed three times for a block: for
+frequencies, for the weighted terms, which are written and few, and for the search. The inverse document
 frequency is c / (df + c), without the logarithm: with it, common words take all
 leading singular directions, and items that leaked a few times none. The rank
 exceeds the block's item passages by ``OVERSAMPLE``, so each can have its direction.
@@ -38,9 +39,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import python_batches, table
+from .common import Scratch, python_batches, table
 
-STRIDE, ITEMS_AT_ONCE, OVERSAMPLE, SEED = 24, 256, 64, 7
+STRIDE, ITEMS_AT_ONCE, OVERSAMPLE, SEED = 24, 1024, 64, 7
 POWER = 1
 MOST_DF, KEEP_TERMS, DF_FLOOR, LEAST_FLOOR = 1e-3, 8, 2e-5, 16
 LEAST_COSINE, LEAST_SHARE, SURE_SHARE, LEAST_ANSWER = 0.35, 0.7, 0.9, 0.5
@@ -109,6 +110,16 @@ class Items:
         self.least = np.maximum(1, np.ceil(LEAST_PAIRS * np.array([len(o) for o in own]))).astype(np.int64)
         self.test = self.basis = self.vectors = None
 
+    def plain(self, *names) -> dict:
+        """The named attributes; arrays, lists and strings only, so executors need no module of ours to read them."""
+        return {n: getattr(self, n) for n in names}
+
+    @classmethod
+    def of(cls, plain: dict) -> Items:
+        out = object.__new__(cls)
+        out.__dict__.update(plain)
+        return out
+
     def terms(self, words):
         """(positions of the words that the items have, their terms)."""
         at = np.flatnonzero(self.bits[(words >> np.uint64(44)).astype(np.int64)])
@@ -214,11 +225,11 @@ def passages(some, sums, base):
 
 def _df(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
+        items = Items.of(shared.value)
         df, n = np.zeros(len(items.vocab), np.int64), 0
         for batch in batches:
             for _, data, offsets in ts.slices(batch.column("text")):
-                base, seg, term = segments(items, *ts.scan(data, offsets, punct=True))
+                base, seg, term = occurrences(items, *ts.scan(data, offsets, punct=True))
                 n += int(base[-1])
                 pairs = np.unique(seg * len(df) + term) if len(seg) else seg
                 df += np.bincount(pairs % max(len(df), 1), minlength=len(df))
@@ -228,16 +239,30 @@ def _df(shared):
     return run
 
 
+def _used(shared):
+    """A row for each slice of texts: where each text's segments start, and the weighted terms by segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items.of(shared.value)
+        for batch in batches:
+            for _, data, offsets in ts.slices(batch.column("text")):
+                found = segments(items, *ts.scan(data, offsets, punct=True))
+                if len(found[1]):
+                    yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.int32)], pa.list_(pa.int32())) for x in found], names=["base", "seg", "term"])
+
+    return run
+
+
 def _range(shared):
+    """Rows (term, its row of A'A Omega) over what _used() left of the texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
-        omega = items.test * items.weights[:, None]
+        weights, test = (shared.value[k] for k in ("weights", "test"))
+        omega = test * weights[:, None]
         z = np.zeros(omega.shape, np.float64)
         for batch in batches:
-            for _, data, offsets in ts.slices(batch.column("text")):
-                base, seg, term = segments(items, *ts.scan(data, offsets, punct=True))
-                if not len(seg):
-                    continue
+            for k in range(batch.num_rows):
+                base, seg, term = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("base", "seg", "term"))
                 some, sums = by_segment(seg, omega[term])
                 at, y = passages(some, sums, base)
                 # back: a segment takes from its own passage and the one before
@@ -246,7 +271,7 @@ def _range(shared):
                 back[later] += y[np.searchsorted(at, some[later] - 1)]
                 order = np.argsort(term, kind="stable")
                 hit, sums = by_segment(term[order], back[np.searchsorted(some, seg[order])])
-                z[hit] += sums * items.weights[hit, None]
+                z[hit] += sums * weights[hit, None]
         some = np.flatnonzero(np.abs(z).sum(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(list(z[some]), pa.list_(pa.float64()))], names=["term", "v"])
 
@@ -255,7 +280,7 @@ def _range(shared):
 
 def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
+        items = Items.of(shared.value)
         basis = items.basis * items.weights[:, None]
         squares = (items.weights**2)[:, None]
         masks = [positions(w.tolist()) for w in items.words]
@@ -310,52 +335,69 @@ FOUND = "doc_id long, item_id long, share double, answer double, cosine double"
 def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, lcs_share, answer_share, cosine) of documents that hold a benchmark item."""
     python_batches(spark)
+    scratch = Scratch(spark, "leaks")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = benchmark.where("item_id is not null and text is not null").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min("text").alias("text")).orderBy("item_id")
-    block, blocks = [], []
+    block, found = [], []
     for r in rows.toLocalIterator():
         n = len(_words(r["text"]))
         for a, b in cuts(n) if n else ():
             block.append((r["item_id"], r["text"], a, b))
             if len(block) == ITEMS_AT_ONCE:
-                blocks.append(_search_block(spark, texts, Items(block)))
+                found.append(_search_block(spark, texts, Items(block), scratch))
                 block = []
     if block:
-        blocks.append(_search_block(spark, texts, Items(block)))
+        found.append(_search_block(spark, texts, Items(block), scratch))
     out = spark.createDataFrame([], FOUND)
-    for b in blocks:
+    for b in found:
         out = out.union(b)
     best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("share", "answer", "cosine")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.share").alias("lcs_share"), F.col("b.answer").alias("answer_share"), F.round("b.cosine", 2).alias("cosine"))
 
 
-def _search_block(spark: SparkSession, texts: DataFrame, items: Items) -> DataFrame:
+def _search_block(spark: SparkSession, texts: DataFrame, items: Items, scratch: Scratch) -> DataFrame:
+    """What the texts hold of one block of items, written; three passes over the texts, none after it."""
     sc = spark.sparkContext
+
+    def share(*names):
+        return sc.broadcast(items.plain(*names))
+
     # sums over all tasks: a row for each term of the block at most
-    counts = texts.select("text").mapInArrow(_df(sc.broadcast(items)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df = np.zeros(len(items.vocab), np.int64)
-    n = 0
-    for r in counts:
+    shared = share("vocab", "bits")
+    df, n = np.zeros(len(items.vocab), np.int64), 0
+    for r in texts.select("text").mapInArrow(_df(shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         if r["term"] < 0:
             n = r["n"]
         else:
             df[r["term"]] = r["n"]
+    shared.destroy()
     items.weigh(df, n)
+    shared = share("vocab", "bits", "weights")
+    kept = scratch.keep(texts.select("text").mapInArrow(_used(shared), "base array<int>, seg array<int>, term array<int>"), "used")
+    shared.destroy()
+    # each task sums a matrix of its own, so their number follows the cluster and not the texts
+    used = kept.coalesce(2 * sc.defaultParallelism)
     items.draw()
     for step in range(1 + POWER):
-        sums = texts.select("text").mapInArrow(_range(sc.broadcast(items)), "term long, v array<double>")
-        sums = sums.groupBy("term").agg(Summarizer.sum(array_to_vector("v")).alias("v")).collect()
+        shared = share("weights", "test")
+        sums = used.mapInArrow(_range(shared), "term long, v array<double>").groupBy("term").agg(Summarizer.sum(array_to_vector("v")).alias("v"))
         z = np.zeros(items.test.shape)
-        for r in sums:
+        for r in sums.toLocalIterator():
             z[r["term"]] = r["v"].toArray()
+        shared.destroy()
         if not z.any():
             # no weighted term occurs; word pairs may
             items.latent(np.zeros((len(items.vocab), 1), np.float32))
-            return texts.mapInArrow(_search(sc.broadcast(items)), FOUND)
+            break
         if step < POWER:
             items.test = np.linalg.qr(z)[0].astype(np.float32)
-    items.project(z)
-    return texts.mapInArrow(_search(sc.broadcast(items)), FOUND)
+        else:
+            items.project(z)
+    shared = share("vocab", "bits", "weights", "words", "answers", "ids", "item", "holders", "held_from", "least", "basis", "vectors")
+    found = scratch.keep(texts.mapInArrow(_search(shared), FOUND), "found")
+    shared.destroy()
+    scratch.drop(kept)
+    return found
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -363,6 +405,11 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item; rows without an id stay."""
-    bad = leaks(spark, docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("bad_id"), "left_anti")
+    """Rows whose text holds no benchmark item.
+
+    Rows are judged by their text alone (its hash stands for the id), so repeated and
+    null ids make no difference. A row goes along as one struct: no column's name can clash.
+    """
+    texts = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col("text").cast("string")).alias("doc_id"))
+    bad = leaks(spark, texts.select("doc_id", "row.text"), table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return texts.join(bad, "doc_id", "left_anti").select("row.*")
