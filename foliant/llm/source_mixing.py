@@ -8,7 +8,7 @@ itself, so the mix meets its targets and reruns agree. Slot k takes block
 pi(k mod n) of its source, pi being a pseudorandom permutation for each source
 and epoch (swap-or-not rounds, which permute any range [0, n) without a table),
 and slots and packed blocks are joined by index: the mix is a written table of
-(shard, position, words). What is taken of a document is counted from that table.
+(shard, position, words), the text of each slot. What is taken of a document is counted from that table.
 
 Hot sources: positions come from two-level prefix sums over hash chunks of
 bounded size, and slots are generated in ranges dealt to all tasks.
@@ -20,6 +20,8 @@ rows count as often as they occur; empty tables give no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
 ROUNDS, SEED = 10, 20240817
 SLOTS_PER_SHARD = 4096
-CHUNK_ROWS = 20_000
+CHUNK_ROWS = 2_000
 RANGE = 8192
 #: As an SQL literal.
 PATTERN = "'" + WORD.replace("\\", "\\\\") + "'"
@@ -75,34 +77,46 @@ def permuted(index: str, n: str, *keys: str) -> str:
     return f"aggregate(sequence(1, {ROUNDS}), {index}, (x, r) -> {swap})"
 
 
-def mix(spark: SparkSession, docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame, Scratch]:
-    """(documents with their place in the streams, slots of the mix).
+def placed(docs: DataFrame, per: DataFrame, sums: DataFrame, chunks: int, *more) -> DataFrame:
+    """Documents with their source's figures and their place in its stream: sid, chunk, rn, start; and the columns ``more``.
 
-    Documents: doc_id, source, size, text, source_size, target, sid, start, chunk, rn.
-    Slots: shard, position, sid, slot, epoch, block.
+    Rows that agree in id, source and text are ties, and any order among them is as good.
     """
-    scratch = Scratch(spark, "mix")
-    sized = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("source").cast("string").alias("source"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.col("text").cast("string").alias("text"),
-    )
-    sized = scratch.keep(sized, "sizes")
-    chunks = max(1, sized.count() // CHUNK_ROWS + 1)
-    sums = scratch.keep(targets(sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))), "targets")
-    d = sized.join(F.broadcast(sums) if sums.count() <= 4096 else sums, sized["source"].eqNullSafe(sums["source"])).drop(sums["source"])
-    d = d.withColumn("chunk", F.expr(f"cast(pmod(xxhash64({SEED}, doc_id, size), {chunks}) as int)"))
-    per = d.groupBy("sid", "chunk").agg(F.sum("size").alias("chunk_size"))
-    per = per.selectExpr("sid", "chunk", "coalesce(sum(chunk_size) over (partition by sid order by chunk rows between unbounded preceding and 1 preceding), 0L) as base")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.col("text").cast("string")).alias("h"), sized("text").alias("size"), *more)
+    d = d.join(F.broadcast(sums) if sums.count() <= 4096 else sums, d["source"].eqNullSafe(sums["source"])).drop(sums["source"])
+    d = d.withColumn("chunk", chunk_of("doc_id", "h", chunks))
     d = d.selectExpr(
         "*",
-        "row_number() over (partition by sid, chunk order by doc_id, size, xxhash64(text)) as rn",
-        "coalesce(sum(size) over (partition by sid, chunk order by doc_id, size, xxhash64(text) rows between unbounded preceding and 1 preceding), 0L) as before",
+        "row_number() over (partition by sid, chunk order by doc_id, h) as rn",
+        "coalesce(sum(size) over (partition by sid, chunk order by doc_id, h rows between unbounded preceding and 1 preceding), 0L) as before",
     )
-    d = d.join(per, ["sid", "chunk"]).withColumn("start", F.expr("base + before")).drop("base", "before")
-    d = scratch.keep(d, "places")
-    scratch.drop(sized)
+    return d.join(F.broadcast(per) if per.count() <= 65536 else per, ["sid", "chunk"]).withColumn("start", F.expr("base + before")).drop("base", "before", "h")
+
+
+def sized(text: str):
+    return F.coalesce(F.size(F.regexp_extract_all(F.col(text).cast("string"), F.lit(WORD), 0)), F.lit(0)).cast("long")
+
+
+def chunk_of(key: str, h: str, chunks: int):
+    return F.pmod(F.xxhash64(F.lit(SEED), key, h), F.lit(chunks)).cast("int")
+
+
+def mix(spark: SparkSession, docs: DataFrame, block: int = BLOCK) -> tuple[Callable[..., DataFrame], DataFrame, Scratch]:
+    """(a function that places documents in the streams, slots of the mix, storage).
+
+    ``place(*columns)``: doc_id, source, size, source_size, target, sid, start, chunk, rn and the columns of ``docs`` asked for.
+    Texts are not stored on the way: what is summed is written without them.
+    Slots: shard, position, sid, slot, epoch, block.
+    """
+    scratch = Scratch(spark, "mix")
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.col("text").cast("string")).alias("h"), sized("text").alias("size"))
+    sizes = scratch.keep(sizes, "sizes")
+    chunks = sizes.count() // CHUNK_ROWS + 1
+    sums = scratch.keep(targets(sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))), "targets")
+    d = sizes.join(F.broadcast(sums) if sums.count() <= 4096 else sums, sizes["source"].eqNullSafe(sums["source"]))
+    per = d.groupBy("sid", chunk_of("doc_id", "h", chunks).alias("chunk")).agg(F.sum("size").alias("chunk_size"))
+    per = per.selectExpr("sid", "chunk", "coalesce(sum(chunk_size) over (partition by sid order by chunk rows between unbounded preceding and 1 preceding), 0L) as base")
+    per = scratch.keep(per, "chunks")
     n = f"cast(ceil(source_size / {block}.0D) as bigint)"
     plan = sums.where("source_size > 0").selectExpr("sid", f"{n} as n", f"least(2 * {n}, cast(round(target * {n} / source_size) as bigint)) as slots")
     total = plan.agg(F.sum("slots")).first()[0] or 0
@@ -113,26 +127,26 @@ def mix(spark: SparkSession, docs: DataFrame, block: int = BLOCK) -> tuple[DataF
     slots = slots.selectExpr("sid", "slot", "n", "slot div n as epoch", f"cast(pmod(xxhash64({SEED}, sid, slot, 'shard'), {shards}) as bigint) as shard")
     slots = slots.withColumn("position", F.expr(f"row_number() over (partition by shard order by xxhash64({SEED}, sid, slot, 'position'), sid, slot) - 1"))
     slots = slots.selectExpr("shard", "position", "sid", "slot", "epoch", f"{permuted('slot % n', 'n', 'sid', 'epoch')} as block")
-    return d, slots, scratch
+    return lambda *more: placed(docs, per, sums, chunks, *more), slots, scratch
 
 
 def packed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(sid, block, words, pieces) of all blocks; ``docs`` as mix() gives them.
+    """(sid, block, words, pieces) of all blocks; ``docs`` with their place and the text.
 
-    ``pieces`` are the documents in a block, in order, with their words there.
+    ``words`` is the block's text, its words joined by blanks; ``pieces`` are the documents in it, in order, with the number of their words there.
     """
     # the array of words is bound by a lambda, so it is made once for a document
     first, last = f"greatest(0L, b * {block} - start)", f"least(size, (b + 1) * {block} - start)"
-    piece = f"named_struct('block', b, 'part', struct(start + {first} as at, chunk, rn, {last} - {first} as n, slice(w, cast({first} + 1 as int), cast({last} - {first} as int)) as words))"
+    piece = f"named_struct('block', b, 'part', struct(start + {first} as at, chunk, rn, {last} - {first} as n, array_join(slice(w, cast({first} + 1 as int), cast({last} - {first} as int)), ' ') as words))"
     pieces = f"flatten(transform(array(regexp_extract_all(text, {PATTERN}, 0)), w -> transform(sequence(start div {block}, (start + size - 1) div {block}), b -> {piece})))"
     at = docs.where("size > 0").select("sid", F.inline(F.expr(pieces)))
     at = at.groupBy("sid", "block").agg(F.sort_array(F.collect_list("part")).alias("parts"))
-    return at.selectExpr("sid", "block", "flatten(parts.words) as words", "transform(parts, p -> struct(p.chunk, p.rn, p.n)) as pieces")
+    return at.selectExpr("sid", "block", "array_join(parts.words, ' ') as words", "transform(parts, p -> struct(p.chunk, p.rn, p.n)) as pieces")
 
 
 def dealt(docs: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFrame:
     """The mix: (shard, position, sid, slot, epoch, block, words, pieces), a row for each slot."""
-    return slots.join(packed(docs, block), ["sid", "block"]).select("shard", "position", "sid", "slot", "epoch", "block", "words", "pieces")
+    return slots.join(packed(docs, block).hint("merge"), ["sid", "block"]).select("shard", "position", "sid", "slot", "epoch", "block", "words", "pieces")
 
 
 def taken(docs: DataFrame, out: DataFrame) -> DataFrame:
@@ -141,16 +155,19 @@ def taken(docs: DataFrame, out: DataFrame) -> DataFrame:
     return docs.join(got, ["sid", "chunk", "rn"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
 
-def mixed(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    places, slots, scratch = mix(spark, docs)
-    out = scratch.keep(dealt(places, slots), "mix")
-    return taken(places, out).select("doc_id", "size", "source_size", "target", "taken", "source")
+def mixed(spark: SparkSession, docs: DataFrame, *more) -> DataFrame:
+    """Documents with size, source_size, target, taken, and the columns ``more``; the mix itself is written on the way."""
+    place, slots, scratch = mix(spark, docs)
+    out = scratch.keep(dealt(place(F.col("text").cast("string").alias("text")), slots), "mix")
+    return taken(place(*more), out)
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(spark, table(spark, sf_dir, "documents"))
+    return mixed(spark, table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of ``docs``: words taken of each document; columns as the query's."""
-    return mixed(spark, docs)
+    """All of ``docs``, texts included, with size, source_size, target and taken; of clashing names the new column stays."""
+    new = ["size", "source_size", "target", "taken"]
+    out = mixed(spark, docs, F.struct("*").alias("row"))
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in new], *new)

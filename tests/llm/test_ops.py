@@ -247,21 +247,22 @@ def test_mixing(spark, edge):
 
 
 def test_mix_holds_the_words_of_its_blocks(spark, edge):
-    places, slots, _ = source_mixing.mix(spark, spark.read.parquet(f"{edge}/documents.parquet"))
+    place, slots, _ = source_mixing.mix(spark, spark.read.parquet(f"{edge}/documents.parquet"))
+    places = place("text")
     out = source_mixing.dealt(places, slots).collect()
     docs = [r for r in places.collect() if r["size"]]
     stream = collections.defaultdict(list)
     for r in sorted(docs, key=lambda r: r["start"]):
         stream[r["sid"]] += WORD.findall(r["text"])
     n = source_mixing.BLOCK
-    assert all(r["words"] == stream[r["sid"]][r["block"] * n : (r["block"] + 1) * n] for r in out) and len(out) == slots.count() > 0
+    assert all(r["words"] == " ".join(stream[r["sid"]][r["block"] * n : (r["block"] + 1) * n]) for r in out) and len(out) == slots.count() > 0
     at = collections.defaultdict(list)
     for r in out:
         at[r["shard"]].append(r["position"])
     assert all(sorted(x) == list(range(len(x))) for x in at.values())
     took = collections.Counter()
     for r in out:
-        assert sum(p["n"] for p in r["pieces"]) == len(r["words"])
+        assert sum(p["n"] for p in r["pieces"]) == len(r["words"].split(" "))
         for p in r["pieces"]:
             took[r["sid"], p["chunk"], p["rn"]] += p["n"]
     got = source_mixing.taken(places, source_mixing.dealt(places, slots)).where("size > 0").collect()
