@@ -10,13 +10,19 @@ UNKNOWN_IN, UNKNOWN_OUT = 10.0, 30.0
 UNPRICED_TOKENS = 2_000_000
 
 
-def estimate(runs: DataFrame, pricing: DataFrame, chars_per_token: float = 4.0, image_tokens: int = 1000) -> DataFrame:
-    """Calls, tokens and price of a run before it starts; (run, model, pages, chars, equations, has_bib) in."""
-    d = runs.selectExpr("*", "cast(ceil(pages / 8.0D) as bigint) as seg_calls", "greatest(500L, cast(chars as bigint) div 20) as bib_out")
-    d = d.selectExpr("*", f"cast(ceil(chars / {chars_per_token}D) as bigint) + 500 * seg_calls as seg_in")
-    d = d.selectExpr("*", "seg_calls + equations + cast(has_bib as int) as calls", f"seg_in + equations * ({image_tokens} + 200) as tokens_in")
-    d = d.selectExpr("*", "seg_calls * least(seg_in div greatest(seg_calls, 1), 4096) + 1024 * equations + cast(has_bib as int) * least(bib_out, 4096) as tokens_out")
-    return d.join(pricing, "model", "left").selectExpr("run", "model", "calls", "tokens_in", "tokens_out", "round((tokens_in * price_in + tokens_out * price_out) / 1e6D, 6) as usd")
+def estimate(runs: DataFrame, pricing: DataFrame, chars_per_token: float = 4.0, image_tokens: int = 1100) -> DataFrame:
+    """Calls, tokens and price of a run before it starts; (run, model, vision_model, pages, chars, equations) in.
+
+    A text takes two bibliography calls; without pages there is no segmentation, so its characters cost
+    nothing else. Images are priced by the vision model; a price that is missing leaves the sum unknown.
+    """
+    d = runs.selectExpr("*", "cast(ceil(pages / 8.0D) as bigint) as seg_calls", "case when chars > 0 then 2L else 0L end as bib_calls", f"equations * ({image_tokens}L + 200) as image_in", "equations * 1024L as image_out")
+    d = d.selectExpr("*", f"case when seg_calls > 0 then cast(ceil(chars / {chars_per_token}D) as bigint) + 500 * seg_calls else 0L end as seg_in")
+    d = d.selectExpr("*", "seg_in + 500 * bib_calls as text_in", "seg_calls * least(seg_in div greatest(seg_calls, 1), 4096) + bib_calls * least(greatest(500L, cast(chars as bigint) div 20), 4096) as text_out")
+    vision = pricing.selectExpr("model as vision_model", "price_in as image_price_in", "price_out as image_price_out")
+    d = d.join(pricing, "model", "left").join(vision, "vision_model", "left")
+    usd = "text_in * price_in + text_out * price_out + case when equations > 0 then image_in * image_price_in + image_out * image_price_out else 0 end"
+    return d.selectExpr("run", "model", "seg_calls + equations + bib_calls as calls", "text_in + image_in as tokens_in", "text_out + image_out as tokens_out", f"round(({usd}) / 1e6D, 6) as usd")
 
 
 def cost(calls: DataFrame, pricing: DataFrame) -> DataFrame:
@@ -24,21 +30,26 @@ def cost(calls: DataFrame, pricing: DataFrame) -> DataFrame:
     d = calls.join(pricing, "model", "left")
     d = d.selectExpr("*", "case when cache_hit then 0L else prompt_tokens end as bill_in", "case when cache_hit then 0L else completion_tokens end as bill_out")
     held = f"(bill_in * coalesce(price_in, {UNKNOWN_IN}D) + bill_out * coalesce(price_out, {UNKNOWN_OUT}D)) / 1e6D"
-    return d.selectExpr("*", f"{held} as held_usd", "(bill_in * price_in + bill_out * price_out) / 1e6D as usd")
+    return d.selectExpr("*", "price_in is null and not cache_hit as unpriced", f"{held} as held_usd", "(bill_in * price_in + bill_out * price_out) / 1e6D as usd")
 
 
 def rollup(costed: DataFrame) -> DataFrame:
+    """Sums of a run; its cost is unknown as soon as one call that was no cache hit has no price."""
     return costed.groupBy("run").agg(
         F.count("*").alias("calls"), F.count_if("cache_hit").alias("cache_hits"), F.sum("bill_in").alias("tokens_in"), F.sum("bill_out").alias("tokens_out"),
-        F.round(F.when(F.bool_or(F.col("price_in").isNull()), None).otherwise(F.sum("usd")), 9).alias("usd"),
+        F.round(F.when(F.bool_or("unpriced"), None).otherwise(F.coalesce(F.sum("usd"), F.lit(0.0))), 9).alias("usd"),
     )
 
 
 def first_rejected(costed: DataFrame, limit_usd: float, unpriced_limit: int = UNPRICED_TOKENS) -> DataFrame:
-    """(run, seq) of the first call that would pass the limit (strictly), or use too many unpriced tokens."""
+    """(run, seq) of the first call that would pass the limit (strictly).
+
+    From the first call without a price on, all tokens of the run count against ``unpriced_limit``.
+    Cache hits send nothing and are not checked.
+    """
     w = "over (partition by run order by seq rows between unbounded preceding and current row)"
-    d = costed.selectExpr("*", f"sum(held_usd) {w} as spent", f"sum(case when price_in is null then bill_in + bill_out else 0 end) {w} as unpriced")
-    return d.where(f"round(spent, 9) > {limit_usd}D or unpriced > {unpriced_limit}").groupBy("run").agg(F.min("seq").alias("seq"))
+    d = costed.selectExpr("*", f"sum(held_usd) {w} as spent", f"sum(bill_in + bill_out) {w} as tokens", f"max(unpriced) {w} as unknown")
+    return d.where(f"not cache_hit and (round(spent, 9) > {limit_usd}D or unknown and tokens > {unpriced_limit})").groupBy("run").agg(F.min("seq").alias("seq"))
 
 
 def drop_assets(assets: DataFrame, cap: int) -> DataFrame:
@@ -65,6 +76,13 @@ def first_over(stream: DataFrame, cap: int) -> DataFrame:
 
 
 def short_count(n: Column) -> Column:
-    """12, 1.5k, 2M: up to six significant digits."""
-    text = lambda c: F.regexp_replace(F.format_string("%.5f", c), r"\.?0+$", "")
+    """12, 1.5k, 12.3457M: six significant digits, without trailing zeros."""
+
+    def text(v: Column) -> Column:
+        digits = F.length(F.floor(v).cast("string"))
+        shown = F.format_string("%.0f", v)
+        for k in range(1, 6):
+            shown = F.when(digits == k, F.format_string(f"%.{6 - k}f", v)).otherwise(shown)
+        return F.when(shown.contains("."), F.regexp_replace(shown, r"\.?0+$", "")).otherwise(shown)
+
     return F.when(n >= 1_000_000, F.concat(text(n / 1e6), F.lit("M"))).when(n >= 1000, F.concat(text(n / 1e3), F.lit("k"))).otherwise(n.cast("string"))

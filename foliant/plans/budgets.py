@@ -18,16 +18,18 @@ def _prices(spark):
 
 def cost_estimate(spark, sf_dir):
     d = a.read(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("pages"), F.sum("n_chars").alias("chars"), F.count_if(F.expr("doc_id % 9 = 0")).alias("equations"))
-    runs = d.selectExpr("source as run", "case length(source) when 4 then 'user' else 'other' end as model", "pages", "chars", "equations", "true as has_bib")
+    runs = d.selectExpr("source as run", "case length(source) when 4 then 'user' else 'other' end as model", "case when source like '%2' then 'nobody' else 'assistant' end as vision_model", "pages", "chars", "equations")
     return op.estimate(runs, _prices(spark))
 
 
 ESTIMATE = """WITH pricing(model, price_in, price_out) AS (VALUES ('user', 2.5::DOUBLE, 15.0::DOUBLE), ('assistant', 1.0::DOUBLE, 6.0::DOUBLE)),
-r AS (SELECT source AS run, CASE length(source) WHEN 4 THEN 'user' ELSE 'other' END AS model, count(*) AS pages, CAST(sum(n_chars) AS BIGINT) AS chars, count(*) FILTER (WHERE doc_id % 9 = 0) AS equations FROM documents GROUP BY 1, 2),
-s AS (SELECT *, CAST(ceil(pages / 8.0) AS BIGINT) AS seg_calls, greatest(500, chars // 20) AS bib FROM r),
-t AS (SELECT *, CAST(ceil(chars / 4.0) AS BIGINT) + 500 * seg_calls AS seg_in FROM s),
-u AS (SELECT run, model, seg_calls + equations + 1 AS calls, seg_in + equations * 1200 AS tokens_in, seg_calls * least(seg_in // seg_calls, 4096) + 1024 * equations + least(bib, 4096) AS tokens_out FROM t)
-SELECT run, u.model, calls, tokens_in, tokens_out, round((tokens_in * price_in + tokens_out * price_out) / 1e6, 6) AS usd FROM u LEFT JOIN pricing p ON u.model = p.model"""
+r AS (SELECT source AS run, CASE length(source) WHEN 4 THEN 'user' ELSE 'other' END AS model, CASE WHEN source LIKE '%2' THEN 'nobody' ELSE 'assistant' END AS vision, count(*) AS pages, CAST(sum(n_chars) AS BIGINT) AS chars, count(*) FILTER (WHERE doc_id % 9 = 0) AS equations FROM documents GROUP BY 1, 2, 3),
+s AS (SELECT *, (pages + 7) // 8 AS seg, CASE WHEN chars > 0 THEN 2 ELSE 0 END AS bib, equations * 1300 AS vin, equations * 1024 AS vout FROM r),
+t AS (SELECT *, CASE WHEN seg > 0 THEN (chars + 3) // 4 + 500 * seg ELSE 0 END AS seg_in FROM s),
+u AS (SELECT *, seg_in + vin + 500 * bib AS tin, CASE WHEN seg > 0 THEN seg * least(seg_in // seg, 4096) ELSE 0 END + vout + bib * least(greatest(500, chars // 20), 4096) AS tout FROM t)
+SELECT run, u.model, seg + equations + bib AS calls, tin AS tokens_in, tout AS tokens_out,
+  round(((tin - vin) * p.price_in + (tout - vout) * p.price_out + CASE WHEN equations > 0 THEN vin * v.price_in + vout * v.price_out ELSE 0 END) / 1e6, 6) AS usd
+FROM u LEFT JOIN pricing p ON u.model = p.model LEFT JOIN pricing v ON u.vision = v.model"""
 
 COSTED = """, c AS (SELECT k.*, price_in, price_out, CASE WHEN cache_hit THEN 0 ELSE prompt_tokens END AS bill_in, CASE WHEN cache_hit THEN 0 ELSE completion_tokens END AS bill_out
 FROM calls k LEFT JOIN pricing p ON k.model = p.model),
@@ -46,9 +48,9 @@ def ledger_stop(spark, sf_dir):
     return op.first_rejected(_costed(spark, sf_dir), 0.003, 300)
 
 
-STOP = """, s AS (SELECT run, seq, sum(held) OVER w AS spent, sum(CASE WHEN price_in IS NULL THEN bill_in + bill_out ELSE 0 END) OVER w AS unpriced FROM h
+STOP = """, s AS (SELECT run, seq, sum(held) OVER w AS spent, cache_hit, sum(bill_in + bill_out) OVER w AS tokens, bool_or(price_in IS NULL AND NOT cache_hit) OVER w AS unknown FROM h
 WINDOW w AS (PARTITION BY run ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-SELECT run, min(seq) AS seq FROM s WHERE round(spent, 9) > 0.003 OR unpriced > 300 GROUP BY run"""
+SELECT run, min(seq) AS seq FROM s WHERE NOT cache_hit AND (round(spent, 9) > 0.003 OR unknown AND tokens > 300) GROUP BY run"""
 
 
 def request_key(spark, sf_dir):
@@ -59,14 +61,14 @@ def request_key(spark, sf_dir):
 def cache_hit_split(spark, sf_dir):
     """Calls by whether a shorter table of stored answers has their key; stored keys are made distinct first."""
     d = a.read(spark, sf_dir, "conversations")
-    stored = d.where("conv_id % 2 = 0").selectExpr("sha2(concat_ws('|', role, substring(text, 1, 40)), 256) as key").distinct().withColumn("hit", F.lit(True))
-    asked = d.selectExpr("role", "sha2(concat_ws('|', role, substring(text, 1, 40)), 256) as key")
+    stored = d.where("conv_id % 2 = 0").selectExpr("sha2(concat_ws('|', role, text), 256) as key").distinct().withColumn("hit", F.lit(True))
+    asked = d.selectExpr("role", "sha2(concat_ws('|', role, text), 256) as key")
     j = asked.join(stored, "key", "left")
     return j.groupBy("role").agg(F.count("hit").alias("hits"), F.count_if(F.expr("hit is null")).alias("misses"))
 
 
-SPLIT = """WITH s AS (SELECT DISTINCT sha256(role || '|' || substr(text, 1, 40)) AS key FROM conversations WHERE conv_id % 2 = 0)
-SELECT role, count(s.key) AS hits, count(*) FILTER (WHERE s.key IS NULL) AS misses FROM conversations c LEFT JOIN s ON s.key = sha256(role || '|' || substr(text, 1, 40)) GROUP BY role"""
+SPLIT = """WITH s AS (SELECT DISTINCT sha256(role || '|' || text) AS key FROM conversations WHERE conv_id % 2 = 0)
+SELECT role, count(s.key) AS hits, count(*) FILTER (WHERE s.key IS NULL) AS misses FROM conversations c LEFT JOIN s ON s.key = sha256(role || '|' || text) GROUP BY role"""
 
 
 def vlm_degrade(spark, sf_dir):
@@ -77,9 +79,9 @@ def vlm_degrade(spark, sf_dir):
     return d.groupBy("run").agg(F.count_if("called").alias("called"), F.count_if(F.expr("not called")).alias("image_only"))
 
 
-DEGRADE = """, s AS (SELECT run, seq, sum(held) OVER w AS spent, sum(CASE WHEN price_in IS NULL THEN bill_in + bill_out ELSE 0 END) OVER w AS unpriced FROM h
+DEGRADE = """, s AS (SELECT run, seq, sum(held) OVER w AS spent, cache_hit, sum(bill_in + bill_out) OVER w AS tokens, bool_or(price_in IS NULL AND NOT cache_hit) OVER w AS unknown FROM h
 WINDOW w AS (PARTITION BY run ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-t AS (SELECT run, min(seq) AS stop FROM s WHERE round(spent, 9) > 0.002 OR unpriced > 2000000 GROUP BY run)
+t AS (SELECT run, min(seq) AS stop FROM s WHERE NOT cache_hit AND (round(spent, 9) > 0.002 OR unknown AND tokens > 2000000) GROUP BY run)
 SELECT c.run, count(*) FILTER (WHERE stop IS NULL OR seq < stop) AS called, count(*) FILTER (WHERE seq >= stop) AS image_only FROM calls c LEFT JOIN t ON c.run = t.run GROUP BY c.run"""
 
 
@@ -139,7 +141,7 @@ def format_counts(spark, sf_dir):
     return a.read(spark, sf_dir, "documents").groupBy("source").agg(F.sum("n_chars").alias("chars")).select("source", op.short_count(F.col("chars")).alias("shown"))
 
 
-FORMAT = """SELECT source, CASE WHEN s >= 1000000 THEN regexp_replace(printf('%.5f', s / 1e6), '\\.?0+$', '') || 'M' WHEN s >= 1000 THEN regexp_replace(printf('%.5f', s / 1e3), '\\.?0+$', '') || 'k' ELSE CAST(s AS VARCHAR) END AS shown
+FORMAT = """SELECT source, CASE WHEN s >= 1000000 THEN printf('%g', s / 1e6) || 'M' WHEN s >= 1000 THEN printf('%g', s / 1e3) || 'k' ELSE CAST(s AS VARCHAR) END AS shown
 FROM (SELECT source, sum(n_chars) AS s FROM documents GROUP BY source)"""
 
 
@@ -149,7 +151,7 @@ def _calls(tail):
 
 ENTRIES = {
     "cost_estimate": Entry(cost_estimate, ESTIMATE),
-    "ledger_rollup": Entry(ledger_rollup, _calls(" SELECT run, count(*) AS calls, count(*) FILTER (WHERE cache_hit) AS cache_hits, CAST(sum(bill_in) AS BIGINT) AS tokens_in, CAST(sum(bill_out) AS BIGINT) AS tokens_out, round(CASE WHEN bool_or(price_in IS NULL) THEN NULL ELSE sum(usd) END, 9) AS usd FROM h GROUP BY run")),
+    "ledger_rollup": Entry(ledger_rollup, _calls(" SELECT run, count(*) AS calls, count(*) FILTER (WHERE cache_hit) AS cache_hits, CAST(sum(bill_in) AS BIGINT) AS tokens_in, CAST(sum(bill_out) AS BIGINT) AS tokens_out, round(CASE WHEN count(*) FILTER (WHERE price_in IS NULL AND NOT cache_hit) = 0 THEN coalesce(sum(usd), 0) END, 9) AS usd FROM h GROUP BY run")),
     "ledger_stop": Entry(ledger_stop, _calls(STOP)),
     "request_key": Entry(request_key, "SELECT conv_id, turn, sha256(role || '|' || text || '|v1') AS key FROM conversations"),
     "cache_hit_split": Entry(cache_hit_split, SPLIT),

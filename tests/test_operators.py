@@ -1,13 +1,32 @@
 """Boundary cases whose values follow from the operators' rules."""
 
+from pyspark.sql import functions as F
+
 from foliant.operators import accounting, layout, numbering
 
 
 def test_estimate_formula(spark):
-    runs = spark.createDataFrame([(1, "m", 30, 40_000, 40, True)], "run int, model string, pages long, chars long, equations long, has_bib boolean")
+    runs = spark.createDataFrame([(1, "m", "m", 30, 40_000, 40), (2, "m", "x", 30, 40_000, 40), (3, "m", "x", 0, 0, 0)], "run int, model string, vision_model string, pages long, chars long, equations long")
     prices = spark.createDataFrame([("m", 2.5, 15.0)], "model string, price_in double, price_out double")
-    r = accounting.estimate(runs, prices, image_tokens=1050).first()
-    assert r["calls"] == 4 + 40 + 1 and r["tokens_in"] == 10_000 + 2000 + 40 * 1250
+    got = {r["run"]: r for r in accounting.estimate(runs, prices).collect()}
+    assert tuple(got[1])[2:5] == (46, 65_000, 56_960) and got[1]["usd"] == 1.0169
+    assert got[2]["usd"] is None and tuple(got[3])[2:] == (0, 0, 0, 0.0)
+
+
+def test_ledger_limits(spark):
+    prices = spark.createDataFrame([("m", 2.0, 4.0)], "model string, price_in double, price_out double")
+    kind = "run int, seq int, model string, prompt_tokens long, completion_tokens long, cache_hit boolean"
+    calls = [(1, 1, "m", 500_000, 0, False), (1, 2, "m", 0, 0, False), (2, 1, "m", 500_000, 0, False), (2, 2, "x", 9, 9, True), (3, 1, "m", 900, 0, False), (3, 2, "x", 90, 20, False), (4, 1, "x", 5, 5, True)]
+    costed = accounting.cost(spark.createDataFrame(calls, kind), prices)
+    usd = {r["run"]: r["usd"] for r in accounting.rollup(costed).collect()}
+    assert usd == {1: 1.0, 2: 1.0, 3: None, 4: 0.0}
+    stop = lambda limit, tokens: {r["run"]: r["seq"] for r in accounting.first_rejected(costed, limit, tokens).collect()}
+    assert stop(1.0, 1000) == {3: 2} and stop(1.0, 1010) == {} and stop(0.999, 2000) == {1: 1, 2: 1} and stop(0.0, 2000) == {1: 1, 2: 1, 3: 1}
+
+
+def test_short_counts(spark):
+    d = spark.createDataFrame([(n,) for n in (12, 1500, 2_000_000, 12_345_678, 999_999, 100_000, 1_234_567_890)], "n long")
+    assert [r["s"] for r in d.select(accounting.short_count(F.col("n")).alias("s")).collect()] == ["12", "1.5k", "2M", "12.3457M", "999.999k", "100k", "1234.57M"]
 
 
 def test_paragraph_merge(spark):
