@@ -11,23 +11,22 @@ def anchors(blocks: DataFrame) -> DataFrame:
     return blocks.selectExpr("*", "concat(kind, '-', row_number() over (partition by doc, kind order by n)) as anchor")
 
 
-def section_numbers(heads: DataFrame, levels: int = 3) -> DataFrame:
+def section_numbers(heads: DataFrame, levels: int = 6) -> DataFrame:
     """Adds ``number``: dotted counters of headings (doc, n, level, numbered, appendix); levels not yet seen are left out.
 
-    A counter starts again under each new higher heading, so level k counts
-    within the counters above it. Appendix sections of level 1 are lettered on
-    their own count. Unnumbered headings neither count nor reset.
+    A level counts anew under each heading above it, numbered or not, and in the
+    appendix all levels start again; its sections of level 1 are lettered,
+    while those below show the decimal counter. Unnumbered headings do not count.
     """
-    d = heads.selectExpr("*", "case when numbered then level end as lv")
-    above: list[str] = []
+    d = heads.selectExpr("*", "case when numbered then level end as lv", "0L as s0")
     for k in range(1, levels + 1):
-        part = ", ".join(["doc", *above])
-        d = d.selectExpr("*", f"cast(count_if(lv = {k}) over (partition by {part} order by n) as bigint) as c{k}")
-        above.append(f"c{k}")
-    d = d.selectExpr("*", "cast(count_if(lv = 1 and appendix) over (partition by doc order by n) as int) as letter")
-    shown = ["case when level = 1 and appendix then chr(64 + letter) when c1 > 0 then cast(c1 as string) end"]
-    shown += [f"case when level >= {k} and c{k} > 0 then cast(c{k} as string) end" for k in range(2, levels + 1)]
-    return d.selectExpr("*", f"case when numbered then concat_ws('.', {', '.join(shown)}) end as number").drop("lv", "letter", *above)
+        # s: headings above level k so far, which names the heading that the count is under
+        d = d.selectExpr(
+            "*", f"cast(count_if(lv = {k}) over (partition by doc, appendix, s{k - 1} order by n) as bigint) as c{k}", f"count_if(level <= {k}) over (partition by doc order by n) as s{k}"
+        )
+    shown = [f"case when level >= {k} and c{k} > 0 then {f'case when level = 1 and appendix then chr(64 + cast(c1 as int)) else cast(c1 as string) end' if k == 1 else f'cast(c{k} as string)'} end" for k in range(1, levels + 1)]
+    made = ["lv", "s0", *[f"{x}{k}" for k in range(1, levels + 1) for x in "cs"]]
+    return d.selectExpr("*", f"case when numbered then concat_ws('.', {', '.join(shown)}) end as number").drop(*made)
 
 
 def section_parents(heads: DataFrame) -> DataFrame:

@@ -22,12 +22,13 @@ def section_number(spark, sf_dir):
 
 
 SECTION = """,
-h AS (SELECT doc, n, level, captioned AS num, n > 5 AS app, CASE WHEN captioned THEN level END AS lv FROM headings),
-a1 AS (SELECT *, count(*) FILTER (WHERE lv = 1) OVER (PARTITION BY doc ORDER BY n) AS c1, count(*) FILTER (WHERE lv = 1 AND app) OVER (PARTITION BY doc ORDER BY n) AS ltr FROM h),
-a2 AS (SELECT *, count(*) FILTER (WHERE lv = 2) OVER (PARTITION BY doc, c1 ORDER BY n) AS c2 FROM a1),
-a3 AS (SELECT *, count(*) FILTER (WHERE lv = 3) OVER (PARTITION BY doc, c1, c2 ORDER BY n) AS c3 FROM a2)
-SELECT doc, n, CASE WHEN num THEN concat_ws('.', CASE WHEN level = 1 AND app THEN chr(64 + CAST(ltr AS INT)) WHEN c1 > 0 THEN CAST(c1 AS VARCHAR) END,
-  CASE WHEN level >= 2 AND c2 > 0 THEN CAST(c2 AS VARCHAR) END, CASE WHEN level >= 3 AND c3 > 0 THEN CAST(c3 AS VARCHAR) END) END AS number FROM a3
+h AS (SELECT doc, n, level, captioned AS num, n > 5 AS app,
+  (SELECT max(p.n) FROM headings p WHERE p.doc = h.doc AND p.n <= h.n AND p.level <= 1) AS p1, (SELECT max(p.n) FROM headings p WHERE p.doc = h.doc AND p.n <= h.n AND p.level <= 2) AS p2 FROM headings h),
+c AS (SELECT h.*, (SELECT count(*) FROM h x WHERE x.doc = h.doc AND x.app = h.app AND x.n <= h.n AND x.num AND x.level = 1) AS c1,
+  (SELECT count(*) FROM h x WHERE x.doc = h.doc AND x.app = h.app AND x.n <= h.n AND x.num AND x.level = 2 AND x.n > coalesce(h.p1, 0)) AS c2,
+  (SELECT count(*) FROM h x WHERE x.doc = h.doc AND x.app = h.app AND x.n <= h.n AND x.num AND x.level = 3 AND x.n > coalesce(h.p2, 0)) AS c3 FROM h)
+SELECT doc, n, CASE WHEN num THEN concat_ws('.', CASE WHEN c1 > 0 THEN CASE WHEN level = 1 AND app THEN chr(64 + CAST(c1 AS INT)) ELSE CAST(c1 AS VARCHAR) END END,
+  CASE WHEN level >= 2 AND c2 > 0 THEN CAST(c2 AS VARCHAR) END, CASE WHEN level >= 3 AND c3 > 0 THEN CAST(c3 AS VARCHAR) END) END AS number FROM c
 """
 
 

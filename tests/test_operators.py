@@ -40,8 +40,12 @@ def test_paragraph_merge(spark):
 
 def test_section_numbers(spark):
     heads = [(1, 1, 2, True, False), (1, 2, 1, True, False), (1, 3, 2, True, False), (1, 4, 2, False, False), (1, 5, 1, True, True), (1, 6, 2, True, True)]
+    # an unnumbered heading opens a scope of its own; six levels
+    heads += [(2, n, level, numbered, False) for n, (level, numbered) in enumerate([(1, True), (2, True), (2, True), (1, False), (2, True), (3, True), (2, False), (3, True), (1, True), (4, True), (6, True)])]
     d = spark.createDataFrame(heads, "doc int, n int, level int, numbered boolean, appendix boolean")
-    assert [r["number"] for r in numbering.section_numbers(d).orderBy("n").collect()] == ["1", "1", "1.1", None, "A", "2.1"]
+    got = numbering.section_numbers(d).orderBy("doc", "n").collect()
+    assert [r["number"] for r in got if r["doc"] == 1] == ["1", "1", "1.1", None, "A", "1.1"]
+    assert [r["number"] for r in got if r["doc"] == 2] == ["1", "1.1", "1.2", None, "1.1", "1.1.1", None, "1.1.1", "2", "2.1", "2.1.1"]
 
 
 def test_rate_limit_equals_loop(spark):
