@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MASK = "[redacted]"
+#: Fixed value.
+MASK = "***"
 
 
 def redact(text: Column, known: tuple[str, ...] = ()) -> Column:
@@ -14,4 +15,4 @@ def redact(text: Column, known: tuple[str, ...] = ()) -> Column:
         if len(s) >= 8:
             text = F.replace(text, F.lit(s), F.lit(MASK))
     text = F.regexp_replace(text, r"sk-[A-Za-z0-9_\-]{8,}", MASK)
-    return F.regexp_replace(text, r"(?i)(authorization:\s*bearer\s+)\S+", "$1" + MASK)
+    return F.regexp_replace(text, r"(?i)(authorization\s*:\s*bearer\s+)\S+", "$1" + MASK)

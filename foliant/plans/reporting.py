@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.masking import redact as mask
-from ..operators import parsing
+from ..operators import licences, parsing
 from ..sources import adapters as a
 from .base import Entry
 
-ALLOWED = ("MIT", "BSD", "Apache-2.0", "PSF")
-LICENCES = [("a", "MIT"), ("b", "MIT OR GPL-3.0"), ("c", "Apache-2.0 AND MIT"), ("d", "GPL-3.0, MIT"), ("e", "BSD/MIT"), ("f", "LGPL; Zlib")]
+#: Two licences of a made expression, and what joins them.
+NAMES = ("MIT", "GPL-3.0", "Apache 2.0", "BSD License", "MPL-2.0", "isc")
+JOINTS = (" OR ", " and ", ", ", "; ", "/", " | ")
 
 
 def csp_hash(spark, sf_dir):
@@ -19,16 +20,25 @@ def csp_hash(spark, sf_dir):
 
 
 def redact(spark, sf_dir):
-    d = a.read(spark, sf_dir, "documents").selectExpr("doc_id", "concat(substring(text, 1, 50), ' sk-abcDEF12345', doc_id, ' Authorization: Bearer t.', doc_id, ' secret-value-1 end') as text")
+    d = a.read(spark, sf_dir, "documents").selectExpr("doc_id", "concat(text, ' sk-abcDEF12345', doc_id, ' Authorization : Bearer t.', doc_id, ' secret-value-1 end') as text")
     return d.select("doc_id", F.md5(mask(F.col("text"), ("secret-value-1", "short"))).alias("md5"))
 
 
+REDACT = r"""SELECT doc_id, md5(regexp_replace(regexp_replace(text, 'sk-[A-Za-z0-9_-]{8,}', '***', 'g'), '(authorization\s*:\s*bearer\s+)\S+', '\1***', 'gi') || ' *** Authorization : Bearer *** *** end') AS md5 FROM documents"""
+
+
 def licence_gate(spark, sf_dir):
-    """An expression passes if all its conjuncts have an allowed alternative."""
-    d = spark.createDataFrame(LICENCES, "package string, licence string")
-    d = d.withColumn("parts", F.split("licence", r"\s+AND\s+|\s*[,;]\s*"))
-    ok = ", ".join(f"'{x}'" for x in ALLOWED)
-    return d.select("package", F.expr(rf"forall(parts, p -> exists(split(p, '\\s+OR\\s+|\\s*[|/]\\s*'), x -> trim(x) in ({ok})))").alias("ok"))
+    """Which packages' licences pass; expressions are made of two names, three in every fifth."""
+    pick = lambda xs, by: f"element_at(array({', '.join(repr(x) for x in xs)}), cast({by} % {len(xs)} + 1 as int))"
+    d = a.read(spark, sf_dir, "part").selectExpr(
+        "p_partkey as package", f"concat({pick(NAMES, 'p_partkey')}, {pick(JOINTS, 'p_partkey div 6')}, {pick(NAMES, 'p_partkey div 36')}, case p_partkey % 5 when 0 then ' OR ISC' when 1 then ' AND (MIT)' else '' end) as licence"
+    )
+    return d.select("package", licences.passes(F.col("package").cast("string"), F.lit(None), F.col("licence")).alias("ok"))
+
+
+LICENCE = """WITH p AS (SELECT p_partkey AS package, p_partkey % 6 AS x, p_partkey // 6 % 6 AS j, p_partkey // 36 % 6 AS y, p_partkey % 5 AS f FROM part),
+q AS (SELECT *, x IN (0, 2, 3, 5) AS a, y IN (0, 2, 3, 5) AS b, j = 0 AS alternative FROM p)
+SELECT package, CASE WHEN f = 1 THEN false WHEN f = 0 THEN true WHEN alternative THEN a OR b ELSE a AND b END AS ok FROM q"""
 
 
 def run_report(spark, sf_dir):
@@ -100,8 +110,8 @@ def char_lines(spark, sf_dir):
 
 ENTRIES = {
     "csp_hash": Entry(csp_hash, "SELECT doc_id, '''sha256-' || base64(unhex(sha256(text))) || '''' AS source FROM documents"),
-    "redact": Entry(redact, "SELECT doc_id, md5(substr(text, 1, 50) || ' [redacted] Authorization: Bearer [redacted] [redacted] end') AS md5 FROM documents"),
-    "licence_gate": Entry(licence_gate, "SELECT * FROM (VALUES ('a', true), ('b', true), ('c', true), ('d', false), ('e', true), ('f', false)) t(package, ok)"),
+    "redact": Entry(redact, REDACT),
+    "licence_gate": Entry(licence_gate, LICENCE),
     "run_report": Entry(run_report, a.with_sql("attempts", """ SELECT doc, '{"input":{"doc":' || doc || '},"attempts":[' || string_agg('{"engine":"' || engine || '","ok":' || ok || '}', ',' ORDER BY ord) || ']}' AS report FROM attempts GROUP BY doc""")),
     "gate_hosts": Entry(gate_hosts, "SELECT page_id, host, host LIKE '%.example.com' AS allowed, regexp_replace(url, '^http:', 'https:') AS url FROM (SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host FROM pages)"),
     "vendored_files": Entry(vendored_files, "SELECT doc_id AS path, CASE WHEN doc_id % 7 = 0 THEN 'unlisted' ELSE 'changed' END AS problem FROM documents WHERE doc_id % 7 = 0 OR doc_id % 10 = 3"),
