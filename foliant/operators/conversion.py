@@ -5,33 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Identifier grammars and hosts (fixed values).
-NEW_ID, OLD_ID = r"\d{4}\.\d{4,5}", r"[a-z\-]+(?:\.[A-Z]{2})?/\d{7}"
+# Identifier grammars, hosts, plans, codes and phrases.
+NEW_ID, OLD_ID = r"\d{4}\.\d{4,5}", r"[a-z][a-z-]*(?:\.[A-Z]{2})?/\d{7}"
 HOSTS = ("arxiv.org", "www.arxiv.org", "export.arxiv.org")
 PLANS = {"arxiv": ["arxiv-html", "latex", "pdf"], "latex-local": ["latex"], "pdf-local": ["pdf"]}
 TERMINAL = ("security", "cost-limit")
-EXIT = {"input": 2, "fetch": 3, "conversion": 4, "engines": 5, "llm": 6, "cost": 7, "config": 8, "security": 9, "exists": 10}
+EXIT = {"usage": 2, "input": 3, "fetch": 4, "conversion": 5, "engines": 5, "llm": 6, "cost": 7, "config": 8, "security": 9, "exists": 10}
+REASONS = (
+    "html-unavailable", "html-stub", "html-no-content", "html-missing-title", "html-low-quality", "pandoc-missing",
+    "eprint-is-pdf-only", "no-main-tex", "offline-uncached", "llm-not-configured", "cost-declined",
+)
+STUBS = ("HTML is not available for this paper", "conversion is pending", "conversion pending")
 
 
 def resolve(raw: Column) -> Column:
-    """struct(kind, paper, version) of a raw input; kind is null if unrecognised."""
-    path = F.regexp_extract(raw, r"^https?://([^/]+)/(?:abs|pdf|html)/(.+?)(?:\.pdf)?/?$", 2)
-    host = F.lower(F.regexp_extract(raw, r"^https?://([^/]+)/", 1))
-    plain = F.when((path != "") & host.isin(*HOSTS), path).otherwise(F.regexp_replace(raw, r"^(?i:arxiv):", ""))
-    full = rf"^(?:{NEW_ID}|{OLD_ID})(?:v[1-9]\d*)?$"
-    is_id = plain.rlike(full)
-    kind = F.when(is_id, "arxiv").when(F.lower(raw).rlike(r"\.pdf$"), "pdf-local").when(F.lower(raw).rlike(r"\.(tex|tar|tgz|gz)$"), "latex-local")
+    """struct(kind, paper, version) of a raw input; kind is null if unrecognised.
+
+    A page of one of the hosts must name an identifier; other web addresses are not
+    inputs. Names with a known ending are local files, whose existence the driver tests.
+    """
+    web = r"(?i)^https?://(?:[^/?#@]*@)?([^/:?#]+)(?::\d*)?(/[^?#]*)"
+    is_web = raw.rlike(r"(?i)^https?:")
+    path = F.regexp_extract(raw, web, 2)
+    path = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+    page = F.regexp_extract(path, r"^/(abs|pdf|html)/(.*)$", 1)
+    named = F.regexp_extract(path, r"^/(abs|pdf|html)/(.*)$", 2)
+    named = F.when(page == "pdf", F.regexp_replace(named, r"(?i)\.pdf$", "")).otherwise(named)
+    known = F.lower(F.regexp_extract(raw, web, 1)).isin(*HOSTS)
+    plain = F.regexp_replace(F.when(is_web, F.when(known & (page != ""), named).otherwise("")).otherwise(raw), r"^(?i:arxiv):", "")
+    is_id = plain.rlike(rf"^(?:{NEW_ID}|{OLD_ID})(?:v\d+)?\z")
+    local = ~is_web & ~is_id
+    kind = F.when(is_id, "arxiv").when(local & F.lower(raw).rlike(r"\.pdf$"), "pdf-local").when(local & F.lower(raw).rlike(r"\.(tex|tar|tgz|gz)$"), "latex-local")
     paper = F.when(is_id, F.regexp_replace(plain, r"v\d+$", ""))
     version = F.when(is_id & plain.rlike(r"v\d+$"), F.regexp_extract(plain, r"v(\d+)$", 1).cast("int"))
     return F.struct(kind.alias("kind"), paper.alias("paper"), version.alias("version"))
 
 
 def slug(kind: Column, paper: Column, version: Column, raw: Column) -> Column:
-    stem = F.regexp_replace(F.regexp_extract(raw, r"([^/]*)$", 1), r"(\.tar\.gz|\.tgz|\.[^.]*)$", "")
-    local = F.regexp_replace(stem, r"[^A-Za-z0-9._\-]+", "-")
-    return F.when(kind == "arxiv", F.concat(F.lit("arxiv-"), F.replace(paper, F.lit("/"), F.lit("-")), F.coalesce(F.concat(F.lit("v"), version), F.lit("")))).otherwise(
-        F.when(local == "", "paper").otherwise(local)
-    )
+    """A file name for an input; each unsafe character gives way to one hyphen. Null for what is no input."""
+    name = F.regexp_extract(raw, r"([^/]*)$", 1)
+    stem = F.when(F.lower(name).rlike(r"\.(tar\.gz|tgz)$"), F.regexp_replace(name, r"(?i)\.(tar\.gz|tgz)$", "")).otherwise(F.regexp_replace(name, r"(?<=.)\.[^.]+$", ""))
+    made = F.when(kind == "arxiv", F.concat(F.lit("arxiv-"), F.replace(paper, F.lit("/"), F.lit("-")), F.coalesce(F.concat(F.lit("v"), version), F.lit("")))).otherwise(stem)
+    return F.when(kind.isNotNull(), F.coalesce(F.nullif(F.regexp_replace(made, r"[^A-Za-z0-9._-]", "-"), F.lit("")), F.lit("paper")))
 
 
 def plan(kind: Column) -> Column:
@@ -57,9 +72,15 @@ def first_success(attempts: DataFrame) -> DataFrame:
     )
 
 
-def reason(code: Column) -> Column:
-    known = ("html-stub", "html-no-content", "html-missing-title", "offline", "pandoc-timeout", "pandoc-missing")
-    return F.when(code.isin(*known), code).otherwise(F.concat(F.lit("convert-failed:"), code))
+def reason(code: Column, engine: Column | None = None, error: Column | None = None) -> Column:
+    """Why an engine was passed over: by its error's type (fetch, llm, config or conversion) where that decides, else by the code."""
+    own = F.when(code.isin(*REASONS), code).otherwise(F.concat(F.lit("convert-failed:"), code))
+    if engine is None or error is None:
+        return own
+    raised = F.concat(F.lit("convert-failed:"), code)
+    fetch = F.when(engine == "arxiv-html", "html-unavailable").otherwise(raised)
+    model = F.when(engine == "pdf", "llm-not-configured").otherwise(raised)
+    return F.when(error == "fetch", fetch).when(error.isin("llm", "config"), model).otherwise(own)
 
 
 def visible_text(html: Column) -> Column:
@@ -68,18 +89,25 @@ def visible_text(html: Column) -> Column:
 
 
 def quality_gate(pages: DataFrame, content: str = "ltx_(?:section|para)", errors: str = "ltx_(?:ERROR|missing)") -> DataFrame:
-    """Adds ok, reason, markers, text_kb for each page's ``html``; checks in fixed order."""
+    """Adds ok, reason, markers, text_kb for each page's ``html``; checks in fixed order.
+
+    Markers, elements with an error class, are counted on pages that pass the checks before.
+    """
+    attribute = lambda name: rf"""(?is)<[a-z][^>]*?\sclass\s*=\s*["']?[^"'>]*{name}"""
     d = pages.withColumn("shown", visible_text(F.col("html")))
-    d = d.withColumn("text_kb", F.floor(F.length("shown") / 1024).cast("long")).withColumn("markers", F.regexp_count("html", F.lit(rf'class="[^"]*\b{errors}\b')).cast("long"))
-    title = F.trim(F.regexp_replace(F.regexp_extract("html", r"(?is)<(?:h1|title)\b[^>]*>(.*?)</(?:h1|title)>", 1), r"<[^>]*>", ""))
-    d = d.withColumn(
-        "reason",
-        F.when(F.lower("shown").contains("conversion to html had a fatal error"), "html-stub")
-        .when(~F.col("html").rlike(rf'class="[^"]*\b{content}\b'), "html-no-content")
-        .when(title == "", "html-missing-title")
-        .when(F.col("markers") > F.greatest(F.lit(20.0), F.col("text_kb") / 2), "html-too-many-errors"),
+    titles = F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<title\b[^>]*>(.*?)</title\s*>"), 1), lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, r"<[^>]*>", ""), r"[ \t\n\x0B\f\r]+", " ")))
+    stub = F.lit(False)
+    for phrase in STUBS:
+        stub = stub | F.lower("shown").contains(phrase.lower())
+    early = (
+        F.when(stub, "html-stub")
+        .when(~F.col("html").rlike(attribute(rf'''(?<![^\s"'=]){content}(?![^\s"'>])''')), "html-no-content")
+        .when(~F.exists(titles, lambda t: t != ""), "html-missing-title")
     )
-    return d.withColumn("ok", F.col("reason").isNull()).drop("shown")
+    d = d.withColumn("text_kb", F.floor(F.length("shown") / 1024).cast("long")).withColumn("early", early)
+    d = d.withColumn("markers", F.when(F.col("early").isNull(), F.regexp_count("html", F.lit(attribute(errors)))).otherwise(0).cast("long"))
+    low = F.when(F.col("markers") > F.greatest(F.lit(20.0), F.col("text_kb") / 2), "html-low-quality")
+    return d.withColumn("reason", F.coalesce("early", low)).withColumn("ok", F.col("reason").isNull()).drop("shown", "early")
 
 
 def inventory(files: DataFrame) -> DataFrame:
@@ -98,9 +126,15 @@ def layered(layers: DataFrame) -> DataFrame:
 
 
 def image_type(data: Column) -> Column:
-    """By the first bytes (hexadecimal)."""
+    """By the first bytes: an XML prolog may come before an svg element, a comment may not."""
     head = F.hex(F.substring(data, 1, 8))
-    return F.when(head.startswith("89504E470D0A1A0A"), "png").when(head.startswith("FFD8FF"), "jpg").when(head.startswith("47494638"), "gif").when(F.substring(data, 1, 4096).cast("string").rlike(r"(?is)^\s*(<\?xml.*?>)?\s*(<!--.*?-->\s*)*<svg\b"), "svg")
+    text = F.decode(F.substring(data, 1, 4096), "ISO-8859-1")
+    return (
+        F.when(head.startswith("89504E470D0A1A0A"), "png")
+        .when(head.startswith("FFD8FF"), "jpg")
+        .when(head.startswith("474946383761") | head.startswith("474946383961"), "gif")
+        .when(text.rlike(r"^\s*(?:<\?xml(?s:.*?)\?>\s*)?<svg"), "svg")
+    )
 
 
 def png_size(data: Column) -> Column:
