@@ -9,25 +9,29 @@ from pyspark.sql import functions as F
 def line_key(line: Column) -> Column:
     """A running line's identity: folded case, digits as #, one blank for white space."""
     folded = F.regexp_replace(F.lower(line), "ß", "ss")
-    return F.trim(F.regexp_replace(F.regexp_replace(folded, "[0-9]+", "#"), r"[ \t]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(folded, r"\d+", "#"), r"[ \t\n\x0B\f\r]+", " "))
 
 
-def repeated_keys(lines: DataFrame, share: float, least_pages: int = 4, band: str | None = None) -> DataFrame:
-    """(doc, key[, band], n_pages) of lines on at least ``share`` of a document's pages.
+def line_band(bottom: Column, points: float = 6.0) -> Column:
+    """The band of the page that a line stands in; halves go to the even one."""
+    return F.rint(bottom / points).cast("long")
+
+
+def repeated_keys(lines: DataFrame, share: float = 0.6, least_pages: int = 4) -> DataFrame:
+    """(doc, key, band, n_pages) of lines (doc, page, line, bottom) on at least ``share`` of a document's pages, in one band.
 
     The page count of a document is joined back; counts combine on the map side.
     """
-    by = ["doc", "key"] + ([band] if band else [])
-    keyed = lines.withColumn("key", line_key(F.col("line")))
+    keyed = lines.select("doc", "page", line_key(F.col("line")).alias("key"), line_band(F.col("bottom")).alias("band"))
     pages = lines.groupBy("doc").agg(F.countDistinct("page").alias("pages")).where(F.col("pages") >= least_pages)
-    hits = keyed.where("key <> ''").select(*by, "page").distinct().groupBy(*by).agg(F.count("*").alias("n_pages"))
-    return hits.join(pages, "doc").where(F.col("n_pages") >= share * F.col("pages")).select(*by, "n_pages")
+    hits = keyed.distinct().groupBy("doc", "key", "band").agg(F.count("*").alias("n_pages"))
+    return hits.join(pages, "doc").where(F.col("n_pages") >= share * F.col("pages")).select("doc", "key", "band", "n_pages")
 
 
-def strip_repeated(lines: DataFrame, share: float, least_pages: int = 4) -> DataFrame:
+def strip_repeated(lines: DataFrame, share: float = 0.6, least_pages: int = 4) -> DataFrame:
     """Lines without the running ones."""
-    keyed = lines.withColumn("key", line_key(F.col("line")))
-    return keyed.join(repeated_keys(lines, share, least_pages).select("doc", "key"), ["doc", "key"], "left_anti").drop("key")
+    keyed = lines.withColumn("key", line_key(F.col("line"))).withColumn("band", line_band(F.col("bottom")))
+    return keyed.join(repeated_keys(lines, share, least_pages).select("doc", "key", "band"), ["doc", "key", "band"], "left_anti").drop("key", "band")
 
 
 def blocks(lines: DataFrame, gap: float = 1.8, font_jump: float = 0.25) -> DataFrame:
@@ -35,7 +39,7 @@ def blocks(lines: DataFrame, gap: float = 1.8, font_jump: float = 0.25) -> DataF
 
     Lines: (doc, page, col, seq, top, bottom, height, font). A block ends when the
     vertical gap exceeds ``gap`` times the page's median line height, or the font
-    changes by more than ``font_jump`` of the one before.
+    changes by more than ``font_jump`` of the larger one.
     """
     med = lines.groupBy("doc", "page").agg(F.median("height").alias("median_height"))
     d = lines.join(med, ["doc", "page"])
@@ -43,7 +47,7 @@ def blocks(lines: DataFrame, gap: float = 1.8, font_jump: float = 0.25) -> DataF
     d = d.selectExpr("*", f"lag(bottom) {w} as p_bottom", f"lag(font) {w} as p_font")
     d = d.withColumn(
         "cut",
-        F.expr(f"case when p_bottom is null then 0 when p_bottom - top > {gap}D * median_height or abs(font - p_font) > {font_jump}D * p_font then 1 else 0 end"),
+        F.expr(f"case when p_bottom is null then 0 when p_bottom - top > {gap}D * median_height or abs(font - p_font) > {font_jump}D * greatest(font, p_font) then 1 else 0 end"),
     )
     return d.selectExpr("*", f"sum(cut) {w} as block").drop("p_bottom", "p_font", "cut")
 
@@ -51,14 +55,18 @@ def blocks(lines: DataFrame, gap: float = 1.8, font_jump: float = 0.25) -> DataF
 def merge_paragraphs(rows: DataFrame, gap: float = 2.5) -> DataFrame:
     """(doc, merged array<struct<first,members,text>>) by a fold over each document's paragraphs in order.
 
-    The gap is measured from the first block of the group; on another page a
-    paragraph goes on if the text so far has no closing punctuation. Hyphens at
-    joins are repaired. Rows: (doc, n, page, top, bottom, height, text).
+    The gap is measured from the first block of the group, in line heights of one point at least;
+    on another page a paragraph goes on if the text so far has no closing punctuation. Hyphens at
+    joins are repaired, other joins take one blank. Rows: (doc, n, page, top, bottom, height, text)
+    and, if there is one, ``role``: other blocks than paragraphs are passed over and divide nothing.
     """
+    if "role" in rows.columns:
+        rows = rows.where("role = 'paragraph'")
     packed = rows.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("n", "page", "top", "bottom", "height", "text"))).alias("xs"))
-    same = f"(x.page = last.page and last.bottom - x.top < {gap}D * greatest(last.height, x.height))"
-    over = "(x.page <> last.page and not last.text rlike '[.!?:;]$')"
-    glued = r"case when last.text rlike '[a-z]-$' and x.text rlike '^[a-z]' then concat(substring(last.text, 1, length(last.text) - 1), x.text) else concat(last.text, ' ', x.text) end"
+    same = f"(x.page = last.page and last.bottom - x.top < {gap}D * greatest(last.height, x.height, 1.0D))"
+    # fixed value: the endings that close a paragraph
+    over = r"(x.page <> last.page and not last.text rlike '(?:[.!?]|\\.[\\x22\\x27])\\s*\\z')"
+    glued = r"case when last.text rlike '[a-z]-$' and x.text rlike '^[a-z]' then concat(substring(last.text, 1, length(last.text) - 1), x.text) else concat(regexp_replace(last.text, '\\s+\\z', ''), ' ', regexp_replace(x.text, '^\\s+', '')) end"
     new = "named_struct('first', x.n, 'members', 1, 'page', x.page, 'bottom', x.bottom, 'height', x.height, 'text', x.text)"
     # the accumulator holds the closed paragraphs and the open one
     step = (

@@ -8,22 +8,32 @@ from ..operators import layout as op
 from ..sources.adapters import doc_lines, read, with_sql
 from .base import Entry
 
-KEY_SQL = "trim(regexp_replace(regexp_replace(replace(lower(line), 'ß', 'ss'), '[0-9]+', '#', 'g'), '[ \\t]+', ' ', 'g'))"
+def running_lines(spark, sf_dir):
+    """The texts' lines with their place, and on every page a head with its number and a foot that moves on every second page."""
+    d = doc_lines(spark, sf_dir).selectExpr("doc", "page", "line", "700.0D - 14 * pos as bottom")
+    pages = read(spark, sf_dir, "documents").selectExpr("source as doc", "doc_id as page")
+    head = pages.selectExpr("doc", "page", "concat('  Journal of ', upper(doc), '\t', page) as line", "760.0D + page % 3 as bottom")
+    foot = pages.selectExpr("doc", "page", "'draft' as line", "30.0D + page % 2 * 9 as bottom")
+    return d.union(head).union(foot)
+
+
+KEY_SQL = "trim(regexp_replace(regexp_replace(replace(lower(line), 'ß', 'ss'), '\\d+', '#', 'g'), '[ \\t\\n\\v\\f\\r]+', ' ', 'g'))"
 RUNNERS = f""",
-k AS (SELECT doc, page, {KEY_SQL} AS key FROM doc_lines),
-p AS (SELECT doc, count(DISTINCT page) AS pages FROM doc_lines GROUP BY doc HAVING count(DISTINCT page) >= 4),
-r AS (SELECT k.doc, k.key, count(DISTINCT k.page) AS n_pages FROM k JOIN p ON k.doc = p.doc WHERE k.key <> '' GROUP BY k.doc, k.key, p.pages
-      HAVING count(DISTINCT k.page) >= 0.1 * p.pages)
+l AS (SELECT doc, page, line, 700.0 - 14 * pos AS y FROM doc_lines UNION ALL SELECT source, doc_id, '  Journal of ' || upper(source) || chr(9) || doc_id, 760.0 + doc_id % 3 FROM documents UNION ALL SELECT source, doc_id, 'draft', 30.0 + doc_id % 2 * 9 FROM documents),
+k AS (SELECT doc, page, {KEY_SQL} AS key, CAST(round_even(y / 6, 0) AS BIGINT) AS band FROM l),
+p AS (SELECT doc, count(DISTINCT page) AS pages FROM l GROUP BY doc HAVING count(DISTINCT page) >= 4),
+r AS (SELECT k.doc, k.key, k.band, count(DISTINCT k.page) AS n_pages FROM k JOIN p ON k.doc = p.doc GROUP BY k.doc, k.key, k.band, p.pages
+      HAVING count(DISTINCT k.page) >= 0.6 * p.pages)
 """
 
 
 def runner_keys(spark, sf_dir):
-    return op.repeated_keys(doc_lines(spark, sf_dir), 0.1)
+    return op.repeated_keys(running_lines(spark, sf_dir))
 
 
 def runner_strip(spark, sf_dir):
-    lines = doc_lines(spark, sf_dir)
-    kept = op.strip_repeated(lines, 0.1).groupBy("doc").agg(F.count("*").alias("kept"))
+    lines = running_lines(spark, sf_dir)
+    kept = op.strip_repeated(lines).groupBy("doc").agg(F.count("*").alias("kept"))
     return lines.groupBy("doc").agg(F.count("*").alias("lines")).join(kept, "doc", "left").select("doc", "lines", F.coalesce("kept", F.lit(0)).cast("long").alias("kept"))
 
 
@@ -45,7 +55,7 @@ LINE_BLOCKS = """,
 x AS (SELECT doc, page, pos, 0 - 14.0 * pos - (length(line) % 3) * 9 AS top, -14.0 * pos - (length(line) % 3) * 9 - 10 AS bottom, 8 + length(line) % 5 AS font
       FROM doc_lines WHERE length(line) > 0),
 g AS (SELECT *, lag(bottom) OVER w AS pb, lag(font) OVER w AS pf FROM x WINDOW w AS (PARTITION BY doc, page ORDER BY pos)),
-b AS (SELECT *, sum(CASE WHEN pb IS NULL THEN 0 WHEN pb - top > 18.0 OR abs(font - pf) > 0.25 * pf THEN 1 ELSE 0 END) OVER (PARTITION BY doc, page ORDER BY pos) AS block FROM g)
+b AS (SELECT *, sum(CASE WHEN pb IS NULL THEN 0 WHEN pb - top > 18.0 OR abs(font - pf) > 0.25 * greatest(font, pf) THEN 1 ELSE 0 END) OVER (PARTITION BY doc, page ORDER BY pos) AS block FROM g)
 SELECT doc, page, CAST(block AS BIGINT) AS block, count(*) AS n_lines, CAST(median(font) AS DOUBLE) AS font_median, CAST(min(bottom) AS DOUBLE) AS b, CAST(max(top) AS DOUBLE) AS t
 FROM b GROUP BY doc, page, block
 """
@@ -167,8 +177,8 @@ SERIAL = """SELECT doc_id, md5('{"id":"b0-' || doc_id || '","n":' || length(t) |
 FROM (SELECT doc_id, CASE WHEN length(text) > 600 THEN substr(text, 1, 600) || '…' ELSE text END AS t FROM documents)"""
 
 ENTRIES = {
-    "runner_keys": Entry(runner_keys, with_sql("doc_lines", RUNNERS + "SELECT doc, key, n_pages FROM r")),
-    "runner_strip": Entry(runner_strip, with_sql("doc_lines", RUNNERS + "SELECT k.doc, count(*) AS lines, count(*) FILTER (WHERE r.key IS NULL) AS kept FROM k LEFT JOIN r ON k.doc = r.doc AND k.key = r.key GROUP BY k.doc")),
+    "runner_keys": Entry(runner_keys, with_sql("doc_lines", RUNNERS + "SELECT doc, key, band, n_pages FROM r")),
+    "runner_strip": Entry(runner_strip, with_sql("doc_lines", RUNNERS + "SELECT k.doc, count(*) AS lines, count(*) FILTER (WHERE r.key IS NULL) AS kept FROM k LEFT JOIN r ON k.doc = r.doc AND k.key = r.key AND k.band = r.band GROUP BY k.doc")),
     "line_blocks": Entry(line_blocks, with_sql("doc_lines", LINE_BLOCKS)),
     "space_gap_join": Entry(space_gap_join, with_sql("doc_lines", SPACES)),
     "column_valleys": Entry(column_histogram, with_sql("doc_lines", COLUMNS)),

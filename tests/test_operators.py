@@ -66,3 +66,24 @@ def test_stream_limiter(spark, tmp_path):
     q = paced(s, 3).writeStream.format("memory").queryName("paced").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [r["release_us"] for r in spark.table("paced").orderBy("id").collect()] == [0, 3, 6, 10]
+
+
+def test_paragraphs_end_as_published(spark):
+    kind = "doc long, n long, page long, top double, bottom double, height double, text string, role string"
+    row = lambda n, page, top, text, role="paragraph", height=10.0: (1, n, page, top, top - 10, height, text, role)
+    d = spark.createDataFrame([row(1, 0, 100.0, "Ends with a colon:"), row(2, 0, 95.0, "a figure", "figure"), row(3, 1, 100.0, "  goes on (so). ") , row(4, 2, 100.0, "New"), row(5, 3, 100.0, "it is said.\""), row(6, 4, 100.0, "Last")], kind)
+    got = layout.merge_paragraphs(d).first()["merged"]
+    assert [(r["first"], r["members"], r["text"]) for r in got] == [(1, 2, "Ends with a colon: goes on (so). "), (4, 2, "New it is said.\""), (6, 1, "Last")]
+    tiny = spark.createDataFrame([row(1, 0, 100.0, "a", height=0.1), row(2, 0, 87.6, "b", height=0.1), row(3, 0, 87.4, "c", height=0.1)], kind)
+    assert [r["members"] for r in layout.merge_paragraphs(tiny).first()["merged"]] == [2, 1]
+
+
+def test_runners_stand_in_one_band(spark):
+    rows = [(1, page, f"Page {page}", 760.0 + page % 2) for page in range(5)] + [(1, page, "Moves", 30.0 + 9 * (page % 2)) for page in range(5)] + [(1, page, f"text {'abcde'[page]}", 400.0) for page in range(5)] + [(2, page, "Few", 5.0) for page in range(3)]
+    kept = layout.strip_repeated(spark.createDataFrame(rows, "doc int, page int, line string, bottom double"))
+    assert sorted((r["doc"], r["line"]) for r in kept.collect()) == [(1, "Moves")] * 2 + [(1, f"text {c}") for c in "abcde"] + [(2, "Few")] * 3
+
+
+def test_font_jump_against_the_larger(spark):
+    d = spark.createDataFrame([(1, 1, 0, 1, 100.0, 90.0, 10.0, 10.0), (1, 1, 0, 2, 88.0, 78.0, 10.0, 13.0), (1, 1, 0, 3, 76.0, 66.0, 10.0, 20.0)], "doc int, page int, col int, seq int, top double, bottom double, height double, font double")
+    assert [r["block"] for r in layout.blocks(d).orderBy("seq").collect()] == [0, 0, 1]
