@@ -22,7 +22,7 @@ def _each(df: DataFrame, parse: Callable, schema: str, names: list[str]) -> Data
 
 
 def tex_tokens(df: DataFrame) -> DataFrame:
-    return _each(df, parsers.tokenize_tex, "start int, stop int, kind string, style string, names string, pre string, post string", ["start", "stop", "kind", "style", "names", "pre", "post"])
+    return _each(df, parsers.tokenize_tex, "start int, stop int, kind string, style string, names string, pre string, post string, cut boolean", ["start", "stop", "kind", "style", "names", "pre", "post", "cut"])
 
 
 def bibtex_rows(df: DataFrame) -> DataFrame:

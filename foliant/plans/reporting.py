@@ -97,7 +97,7 @@ def bibtex_fields(spark, sf_dir):
 
 
 def macro_table(spark, sf_dir):
-    d = a.read(spark, sf_dir, "part").selectExpr("p_partkey as id", r"concat('\\newcommand{\\R}{\\mathbb{R}}\\providecommand{\\R}{no}\\renewcommand{\\S}[1]{', p_size, '#1}\\DeclareMathOperator{\\tr}{tr}\\newcommand{\\bad}{\\input{x}}') as text")
+    d = a.read(spark, sf_dir, "part").selectExpr("p_partkey as id", r"concat('\\newcommand{\\R}{\\mathbb{R}}\\providecommand{\\R}{no}\\renewcommand{\\S2}[1]{', p_size, '#1}\\DeclareMathOperator*{\\tr}{tr}\\newcommand{\\in}{\\input{x}}\\newcommand{\\bad}{\\expandafter x}\\newcommand{\\out}{\\newcommand{\\gone}{1}}\\def\\gone{2}\\newcommand{\\o}[1][x]{y}') as text")
     return parsing.macro_rows(d).select("id", "name", "body")
 
 
@@ -121,6 +121,6 @@ ENTRIES = {
     "rawtex_tokens": Entry(rawtex_tokens),
     "comment_strip": Entry(comment_strip),
     "bibtex_fields": Entry(bibtex_fields, "SELECT p_partkey AS id, 1 AS place, 'article' AS type, 'k' || p_partkey AS key, regexp_replace(p_name, ' +', ' ', 'g') AS title, '20' || lpad(CAST(p_size AS VARCHAR), 2, '0') AS year, '10.1/' || p_partkey AS doi FROM part"),
-    "macro_table": Entry(macro_table, r"SELECT p_partkey AS id, unnest(['R', 'S', 'tr']) AS name, unnest(['\mathbb{R}', p_size || '#1', '\operatorname{tr}']) AS body FROM part"),
+    "macro_table": Entry(macro_table, r"SELECT p_partkey AS id, unnest(['\R', '\S2', '\tr', '\in']) AS name, unnest(['\mathbb{R}', p_size || '#1', '\operatorname*{tr}', '\input{x}']) AS body FROM part"),
     "char_lines": Entry(char_lines),
 }
