@@ -41,13 +41,16 @@ class Scratch:
     """Tables written to the shared folder that ``spark.checkpoint.dir`` names.
 
     Writing a table cuts lineage: a lost executor costs its running tasks, not
-    the earlier steps. A folder of our own is set only if the session has none.
+    the earlier steps. A folder of our own is set only if the session has none and
+    runs in this process alone, as in tests; on a cluster that is an error.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = tempfile.mkdtemp(prefix="foliant-")
             spark.sparkContext.setCheckpointDir(base)
             spark.conf.set("spark.checkpoint.dir", base)
@@ -75,5 +78,14 @@ class Scratch:
             fs.delete(path, True)
 
 
+#: Rows of two or three longs that a broadcast may hold.
+MOST_BROADCAST = 200_000
+
+
+def bounded(keys: DataFrame) -> DataFrame:
+    """A written table of a few longs a row, marked for broadcast if it holds at most MOST_BROADCAST rows; else the join shuffles."""
+    return F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

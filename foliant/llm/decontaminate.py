@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import Scratch, python_batches, table
+from .common import Scratch, bounded, python_batches, table
 
 STRIDE, ITEMS_AT_ONCE, OVERSAMPLE, SEED = 24, 1024, 64, 7
 POWER = 1
@@ -412,4 +412,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     texts = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col("text").cast("string")).alias("doc_id"))
     bad = leaks(spark, texts.select("doc_id", "row.text"), table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    bad = bounded(Scratch(spark, "leaking").keep(bad, "bad"))
     return texts.join(bad, "doc_id", "left_anti").select("row.*")

@@ -27,12 +27,10 @@ import random
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, table
+from .common import WORD, Scratch, bounded, table
 from .components import link
 
 SHINGLE, BANDS, ROWS, PERCENT, MATCHES = 8, 10, 4, 80, 20
-#: Rows of one long that a broadcast may hold.
-MOST_BROADCAST = 400_000
 LAST = (1 << 63) - 1
 _random = random.Random(20240817)
 CLASSES, FUNCTIONS = 8, BANDS * ROWS // 8
@@ -84,7 +82,7 @@ def line_classes(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataF
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col("sig")[k] for k in band]) for b, band in enumerate(BAND)])
     # half of each coordinate tells agreement from chance
     sigs = scratch.keep(sigs.select("h", keys.alias("keys"), F.expr("transform(sig, x -> cast(shiftright(x, 32) as int))").alias("sig")), "signatures")
-    postings = sigs.select(F.explode("keys").alias("key"), F.col("h").alias("node")).distinct()
+    postings = sigs.select(F.explode("keys").alias("key"), F.col("h").alias("node"))
 
     def near(pairs: DataFrame) -> DataFrame:
         """At the limit of 0.8 about 32 of 40 coordinates are expected to agree."""
@@ -93,9 +91,8 @@ def line_classes(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataF
         return both.where(f"size(filter(zip_with(sa, sb, (x, y) -> x = y), x -> x)) >= {MATCHES}")
 
     def sets(asked: DataFrame) -> DataFrame:
-        asked = scratch.keep(asked.select(F.col("node").alias("h")), "asked")
         # few enough hashes go to all tasks; beyond that the lines are shuffled
-        asked = F.broadcast(asked) if asked.count() <= MOST_BROADCAST else asked
+        asked = bounded(scratch.keep(asked.select(F.col("node").alias("h")), "asked"))
         return shingle_sets(lines.select("h", "line").join(asked, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")))
 
     roots = link(postings, near, sets, PERCENT, scratch)
@@ -106,34 +103,45 @@ def line_classes(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataF
     return places, scratch.keep(firsts.select("h", "root").join(least, "root").select("h", "first"), "firsts"), scratch
 
 
-def dropped_lines(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((ord, th, dropped positions) of texts that lose lines; (ord, th, n_lines, rows) of texts with lines)."""
+def dropped_lines(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame, Scratch]:
+    """((ord, th, rows, dropped, every) of texts that lose lines or occur in several rows; the lines' places; storage).
+
+    ``dropped``: positions that the first of these rows loses, or null; ``every``: the positions of all lines with a word, where rows repeat.
+    """
     places, firsts, scratch = line_classes(spark, docs)
     gone = places.join(firsts, "h").where("ord <> first.ord or th <> first.th or pos <> first.pos")
-    gone = scratch.keep(gone.groupBy("ord", "th").agg(F.sort_array(F.collect_set("pos")).alias("dropped")), "gone")
-    counts = places.groupBy("ord", "th").agg(F.countDistinct("pos").alias("n_lines"), F.count("*").alias("all"))
-    return gone, counts.selectExpr("ord", "th", "n_lines", "`all` div n_lines as rows")
+    gone = gone.groupBy("ord", "th").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
+    # a row of a text has a line at each place once
+    several = places.groupBy("ord", "th", "pos").agg(F.count("*").alias("rows")).where("rows > 1")
+    several = several.groupBy("ord", "th").agg(F.max("rows").alias("rows"), F.sort_array(F.collect_set("pos")).alias("every"))
+    marks = gone.join(several, ["ord", "th"], "full").select("ord", "th", F.coalesce("rows", F.lit(1)).alias("rows"), "dropped", "every")
+    return scratch.keep(marks, "marks"), places, scratch
 
 
-def judged(spark: SparkSession, docs: DataFrame, *more) -> DataFrame:
-    """(ord, th, ..., n_lines, dropped, again) for each row; again: an equal row comes before it."""
-    gone, counts = dropped_lines(spark, docs)
-    rows = named(docs, *more).join(counts, ["ord", "th"], "left").join(gone, ["ord", "th"], "left")
-    once = rows.where("coalesce(rows, 1) = 1").withColumn("again", F.lit(False))
-    several = rows.where("rows > 1")
-    return once.union(several.withColumn("again", F.row_number().over(Window.partitionBy("ord", "th").orderBy(F.lit(0))) > 1))
+def judged(spark: SparkSession, docs: DataFrame, *more) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows that stay as they are; rows (ord, th, ..., dropped, again) that lose lines or repeat; the lines' places).
 
-
-WITH_WORD = "filter(sequence(0, size(lines) - 1), i -> rlike(lines[i], '{}'))".format(WORD.replace("\\", "\\\\"))
+    ``again``: an equal row comes before it.
+    """
+    marks, places, scratch = dropped_lines(spark, docs)
+    keys = bounded(scratch.keep(marks.select("ord", "th"), "marked"))
+    rows = named(docs, *more)
+    marked = rows.join(keys, ["ord", "th"], "left_semi").join(marks, ["ord", "th"])
+    once = marked.where("rows = 1").withColumn("again", F.lit(False))
+    several = marked.where("rows > 1").withColumn("again", F.row_number().over(Window.partitionBy("ord", "th").orderBy(F.lit(0))) > 1)
+    cut = once.union(several).withColumn("dropped", F.when(F.col("again"), F.col("every")).otherwise(F.col("dropped")))
+    return rows.join(keys, ["ord", "th"], "left_anti"), cut.drop("rows", "every"), places
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document: lines with a word, lines kept, positions of those dropped."""
     docs = table(spark, sf_dir, "documents")
-    out = judged(spark, docs, "doc_id", F.split(F.col("text").cast("string"), "\n").alias("lines"))
-    dropped = F.when(F.col("again"), F.expr(WITH_WORD)).otherwise(F.coalesce("dropped", F.array().cast("array<int>")))
-    out = out.select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), dropped.alias("dropped"))
-    return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("dropped")).cast("long").alias("n_kept"), "dropped")
+    same, cut, places = judged(spark, docs, "doc_id")
+    none = F.array().cast("array<int>")
+    rows = same.withColumn("dropped", none).union(cut.select("ord", "th", "doc_id", F.coalesce("dropped", none).alias("dropped")))
+    out = rows.join(places.groupBy("ord", "th").agg(F.countDistinct("pos").alias("n_lines")), ["ord", "th"], "left")
+    n = F.coalesce("n_lines", F.lit(0)).cast("long")
+    return out.select("doc_id", n.alias("n_lines"), (n - F.size("dropped")).cast("long").alias("n_kept"), "dropped")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -142,10 +150,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents that had no such line stay as they are. ``n_chars`` follows the text.
     """
     # the row itself goes along as one struct, so that no column's name can clash
-    d = judged(spark, docs, F.struct("*").alias("row")).where("not again")
-    d = d.withColumn("lines", F.split(F.col("row.text").cast("string"), "\n"))
-    kept = "array_join(transform(array_except(sequence(0, size(lines) - 1), dropped), i -> lines[i]), '\\n')"
-    d = d.select("row", F.inline(F.expr(f"array(struct(dropped is not null as cut, case when dropped is null then row.text else {kept} end as text))")))
+    same, cut, _ = judged(spark, docs, F.struct("*").alias("row"))
+    d = cut.where("not again").withColumn("lines", F.split(F.col("row.text").cast("string"), "\n"))
+    left = "array_join(transform(array_except(sequence(0, size(lines) - 1), dropped), i -> lines[i]), '\\n')"
+    d = d.select("row", F.inline(F.expr(f"array(struct(dropped is not null as cut, case when dropped is null then row.text else {left} end as text))")))
     d = d.where(F.expr("not cut") | F.col("text").rlike(WORD))
     made = {"text": F.col("text").cast(docs.schema["text"].dataType), "n_chars": F.length("text").cast("long")}
-    return d.select(*[F.when(F.col("cut"), made[c]).otherwise(F.col("row")[c]).alias(c) if c in made else F.col("row")[c].alias(c) for c in docs.columns])
+    d = d.select(*[F.when(F.col("cut"), made[c]).otherwise(F.col("row")[c]).alias(c) if c in made else F.col("row")[c].alias(c) for c in docs.columns])
+    return same.select("row.*").union(d)

@@ -30,14 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textscan as ts
-from .common import Scratch, python_batches, table
+from .common import Scratch, bounded, python_batches, table
 from .components import link
 
 COORDS, MATCHES = 64, 38
 #: Words of a shingle in the pipeline's stage.
 STAGE_WORDS = 5
-#: Rows of two longs that a broadcast may hold.
-MOST_BROADCAST = 200_000
 #: Stands for a null id, which orders last.
 LAST = (1 << 63) - 1
 U = np.uint64
@@ -173,9 +171,8 @@ def classes_of(spark: SparkSession, docs: DataFrame, size: int = 2, percent: int
         return both.where(f"size(filter(zip_with(sa, sb, (x, y) -> x = y), x -> x)) >= {MATCHES}")
 
     def sets(asked: DataFrame) -> DataFrame:
-        ids = scratch.keep(asked.join(classes.select("node", "id", "h"), "node"), "asked")
         # few enough ids go to all tasks; beyond that the texts are shuffled
-        ids = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+        ids = bounded(scratch.keep(asked.join(classes.select("node", "id", "h"), "node"), "asked"))
         found = texts.select("text", *identity(texts)).join(ids, ["id", "h"]).select("text", "node")
         return found.mapInArrow(_sets(size), "node long, s array<long>").groupBy("node").agg(F.first("s").alias("s"))
 
@@ -210,11 +207,13 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named = rows.where("node is not null").join(roots, "node", "left").select("id", "h", F.coalesce("root", "node").alias("root"))
     keeper = named.groupBy("root").agg(F.min(F.struct("id", "h")).alias("k")).select("root", "k.*")
     gone = named.join(keeper.withColumnsRenamed({"id": "kid", "h": "kh"}), "root").where("id <> kid or h <> kh").select("id", "h").distinct()
-    repeated = named.groupBy("id", "h").agg(F.count("*").alias("c")).where("c > 1").select("id", "h", F.lit(True).alias("repeated"))
+    scratch = Scratch(spark, "near-stage")
+    gone = bounded(scratch.keep(gone, "gone"))
+    repeated = bounded(scratch.keep(named.groupBy("id", "h").agg(F.count("*").alias("c")).where("c > 1").select("id", "h"), "repeated"))
     # the row itself goes along as one struct, so that no column's name can clash
-    kept = docs.select(F.struct("*").alias("row"), *identity(docs)).join(gone, ["id", "h"], "left_anti").join(repeated, ["id", "h"], "left")
-    once = kept.where("repeated").dropDuplicates(["id", "h"])
-    return kept.where("repeated is null").union(once).select("row.*")
+    kept = docs.select(F.struct("*").alias("row"), *identity(docs)).join(gone, ["id", "h"], "left_anti")
+    once = kept.join(repeated, ["id", "h"], "left_semi").dropDuplicates(["id", "h"])
+    return kept.join(repeated, ["id", "h"], "left_anti").union(once).select("row.*")
 
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -171,7 +171,7 @@ def test_line_dedup_against_brute_force(spark):
     pool = lines + near + ["", " ", "ab", "ab"]
     rows = [(i, "\n".join(r.choice(pool) for _ in range(6))) for i in range(40)] + [(50, None), (51, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    gone, _ = line_dedup.dropped_lines(spark, docs)
+    gone, *_ = line_dedup.dropped_lines(spark, docs)
     got = {x["ord"]: x["dropped"] for x in gone.collect()}
     distinct = sorted({ln for _, t in rows if t for ln in t.split("\n") if WORD.search(ln)})
     sets = {ln: {ln[k : k + 8] for k in range(len(ln) - 7)} for ln in distinct}
@@ -207,7 +207,7 @@ def test_repeated_units_against_brute_force(spark):
                 group = [group[j] if g == group[i] else g for g in group]
     want = [i for i in range(len(lines)) if group.index(group[i]) != i]
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    gone, _ = line_dedup.dropped_lines(spark, docs)
+    gone, *_ = line_dedup.dropped_lines(spark, docs)
     assert sorted(x["ord"] for x in gone.collect()) == want and len(want) == 11
 
 
