@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import budgets, conversion, integrity, layout, linking, numbering, reporting
+from .plans import acquisition, budgets, conversion, integrity, layout, linking, numbering, reporting
 from .plans.base import Entry
 
-MODULES = (layout, budgets, integrity, numbering, linking, conversion, reporting)
+MODULES = (acquisition, layout, budgets, integrity, numbering, linking, conversion, reporting)
 
 
 def entries() -> dict[str, Entry]:

@@ -49,12 +49,14 @@ def slug(kind: Column, paper: Column, version: Column, raw: Column) -> Column:
     return F.when(kind.isNotNull(), F.coalesce(F.nullif(F.regexp_replace(made, r"[^A-Za-z0-9._-]", "-"), F.lit("")), F.lit("paper")))
 
 
-def plan(kind: Column) -> Column:
-    out = None
+def plan(kind: Column, engine: Column | None = None) -> Column:
+    """Engines to try for an input's kind; a forced one alone, or null if it can't take the kind ('auto' forces none)."""
+    out = F.lit(None)
     for k, engines in PLANS.items():
-        value = F.array(*[F.lit(e) for e in engines])
-        out = F.when(kind == k, value) if out is None else out.when(kind == k, value)
-    return out
+        out = F.when(kind == k, F.array(*[F.lit(e) for e in engines])).otherwise(out)
+    if engine is None:
+        return out
+    return F.when(engine == "auto", out).when(F.array_contains(out, engine), F.array(engine))
 
 
 def first_success(attempts: DataFrame) -> DataFrame:
