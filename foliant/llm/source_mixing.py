@@ -77,12 +77,16 @@ def permuted(index: str, n: str, *keys: str) -> str:
     return f"aggregate(sequence(1, {ROUNDS}), {index}, (x, r) -> {swap})"
 
 
-def placed(docs: DataFrame, per: DataFrame, sums: DataFrame, chunks: int, *more) -> DataFrame:
-    """Documents with their source's figures and their place in its stream: sid, chunk, rn, start; and the columns ``more``.
+def measured(docs: DataFrame, *more) -> DataFrame:
+    """(doc_id, source, h, size, ...) of documents; h is the text's hash."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.col("text").cast("string")).alias("h"), sized("text").alias("size"), *more)
+
+
+def placed(d: DataFrame, per: DataFrame, sums: DataFrame, chunks: int) -> DataFrame:
+    """Measured documents with their source's figures and their place in its stream: sid, chunk, rn, start.
 
     Rows that agree in id, source and text are ties, and any order among them is as good.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.col("text").cast("string")).alias("h"), sized("text").alias("size"), *more)
     d = d.join(F.broadcast(sums) if sums.count() <= 4096 else sums, d["source"].eqNullSafe(sums["source"])).drop(sums["source"])
     d = d.withColumn("chunk", chunk_of("doc_id", "h", chunks))
     d = d.selectExpr(
@@ -109,8 +113,7 @@ def mix(spark: SparkSession, docs: DataFrame, block: int = BLOCK) -> tuple[Calla
     Slots: shard, position, sid, slot, epoch, block.
     """
     scratch = Scratch(spark, "mix")
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.col("text").cast("string")).alias("h"), sized("text").alias("size"))
-    sizes = scratch.keep(sizes, "sizes")
+    sizes = scratch.keep(measured(docs), "sizes")
     chunks = sizes.count() // CHUNK_ROWS + 1
     sums = scratch.keep(targets(sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))), "targets")
     d = sizes.join(F.broadcast(sums) if sums.count() <= 4096 else sums, sizes["source"].eqNullSafe(sums["source"]))
@@ -127,7 +130,8 @@ def mix(spark: SparkSession, docs: DataFrame, block: int = BLOCK) -> tuple[Calla
     slots = slots.selectExpr("sid", "slot", "n", "slot div n as epoch", f"cast(pmod(xxhash64({SEED}, sid, slot, 'shard'), {shards}) as bigint) as shard")
     slots = slots.withColumn("position", F.expr(f"row_number() over (partition by shard order by xxhash64({SEED}, sid, slot, 'position'), sid, slot) - 1"))
     slots = slots.selectExpr("shard", "position", "sid", "slot", "epoch", f"{permuted('slot % n', 'n', 'sid', 'epoch')} as block")
-    return lambda *more: placed(docs, per, sums, chunks, *more), slots, scratch
+    # without texts and rows there is nothing to read but the sizes
+    return lambda *more: placed(measured(docs, *more) if more else sizes, per, sums, chunks), slots, scratch
 
 
 def packed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
