@@ -37,6 +37,10 @@ def python_batches(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+#: Spark's setting to remove an execution's shuffle files at its end rather than at some collection of the driver.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written to the shared folder that ``spark.checkpoint.dir`` names.
 
@@ -62,9 +66,14 @@ class Scratch:
         return f"{self.root}/{self.n:03d}-{name}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes ``df`` and returns the written table."""
+        """Writes ``df`` and returns the written table; the shuffle files of the write go when it ends."""
         path = self.path(name)
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(FREE, "false")
+        self.spark.conf.set(FREE, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(FREE, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path  # type: ignore[attr-defined]
         return out
