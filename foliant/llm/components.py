@@ -84,26 +84,26 @@ def small_pairs(lists: DataFrame) -> DataFrame:
     return met.select(F.inline(F.expr(each))).groupBy("a", "b").agg(F.count("*").alias("met"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar."""
-    side = lambda k: sets.select(F.col("node").alias(k), F.col("s").alias(f"s{k}"))
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, unfold: Callable[[str], str]) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar; what travels is what ``unfold`` makes sets of."""
+    side = lambda k: sets.select(F.col("node").alias(k), F.col("s").alias(f"s{k}"), F.col("n").alias(f"n{k}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    both = both.where(f"100 * least(size(sa), size(sb)) >= {percent} * greatest(size(sa), size(sb))")
-    both = both.selectExpr("a", "b", "size(sa) + size(sb) as n", "size(array_intersect(sa, sb)) as k")
+    both = both.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    both = both.selectExpr("a", "b", "na + nb as n", f"size(array_intersect({unfold('sa')}, {unfold('sb')})) as k")
     return both.where(f"100 * k >= {percent} * (n - k)").select("a", "b")
 
 
-def centred(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def centred(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, unfold: Callable[[str], str]) -> tuple[DataFrame, DataFrame]:
     """(links (a, b); lists of differences (key, node, outer, g, rest)) of the groups ``members`` (r, node), distinct.
 
     ``rest`` is the number of differences that come after this one in the order of the group.
     """
     up, down = 100 + percent, 100 - percent
-    full = members.join(sets, "node")
+    full = members.join(sets, "node").selectExpr("r", "node", "n", f"{unfold('s')} as s")
     counts = full.select("r", F.explode("s").alias("e")).groupBy("r", "e").agg(F.count("*").alias("c"))
     centre = counts.join(members.groupBy("r").agg(F.count("*").alias("m")), "r").where("2 * c > m").groupBy("r").agg(F.collect_list("e").alias("centre"))
     moved = full.join(centre, "r", "left").withColumn("centre", F.coalesce("centre", F.array().cast("array<bigint>")))
-    moved = moved.selectExpr("r", "node", "size(s) as n", "concat(array_except(s, centre), transform(array_except(centre, s), x -> ~x)) as d")
+    moved = moved.selectExpr("r", "node", "n", "concat(array_except(s, centre), transform(array_except(centre, s), x -> ~x)) as d")
     moved = scratch.keep(moved.selectExpr("r", "node", "d", "size(d) as t", f"{up}L * size(d) - {down}L * n as g"), "moved")
     best = moved.groupBy("r").agg(F.min(F.struct("g", "node")).alias("best"))
     placed = moved.join(best.select("r", F.col("best.g").alias("gb"), F.col("best.node").alias("first")), "r")
@@ -120,12 +120,13 @@ def centred(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch)
     return links, scratch.keep(lists, "differences")
 
 
-def link(postings: DataFrame, near: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
+def link(postings: DataFrame, near: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch, unfold: Callable[[str], str] = str) -> DataFrame:
     """(node, root) of all nodes with a link.
 
     ``postings``: (key, node), distinct; nodes of one list may link. ``near``
     leaves of the pairs (a, b) those that may be similar, by their signatures.
-    ``sets`` gives (node, s), the sets of the nodes asked for, as arrays of distinct longs.
+    ``sets`` gives (node, s) of the nodes asked for; ``unfold`` is SQL for the set of a column like s, an
+    array of distinct longs, so that what is stored and shuffled may be smaller than sets. By default s is the set.
     """
     up = 100 + percent
     sized = scratch.keep(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
@@ -137,12 +138,12 @@ def link(postings: DataFrame, near: Callable[[DataFrame], DataFrame], sets: Call
     names = reach.groupBy("key").agg(F.max(F.struct("reach", "node")).alias("r")).select("key", F.col("r.node").alias("r"))
     members = scratch.keep(long.join(names, "key").select("r", "node").distinct(), "members")
     asked = members.select("node").union(pairs[0].select(F.col("a").alias("node"))).union(pairs[0].select("b")).distinct()
-    known = scratch.keep(sets(asked), "sets")
+    known = scratch.keep(sets(asked).selectExpr("node", "s", f"size({unfold('s')}) as n"), "sets")
     links = []
     for level in range(LEVELS):
         if members.isEmpty():
             break
-        stars, lists = centred(members, known, percent, scratch)
+        stars, lists = centred(members, known, percent, scratch, unfold)
         links.append(stars)
         sizes = lists.groupBy("key").agg(F.count("*").alias("n"), F.max("outer").alias("any"), F.min(F.struct("g", "node")).alias("low"))
         sizes = sizes.where("n > 1 and any").select("key", "n", F.col("low.node").alias("r"))
@@ -156,7 +157,7 @@ def link(postings: DataFrame, near: Callable[[DataFrame], DataFrame], sets: Call
     every = pairs[0]
     for p in pairs[1:]:
         every = every.union(p)
-    found = verified(every.distinct(), known, percent)
+    found = verified(every.distinct(), known, percent, unfold)
     for stars in links:
         found = found.union(stars)
     return scratch.keep(connected_components(found, scratch), "roots")

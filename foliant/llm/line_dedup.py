@@ -66,10 +66,10 @@ def signatures(lines: DataFrame) -> DataFrame:
     return d.groupBy("h").agg(*own).select("h", F.array(*[lent(c, j) for j in range(FUNCTIONS) for c in range(CLASSES)]).alias("sig"))
 
 
-def shingle_sets(lines: DataFrame) -> DataFrame:
-    """(node, s) from distinct (h, line): the distinct shingles' hashes."""
-    d = lines.selectExpr("h", "encode(line, 'UTF-32') as bin").where(f"octet_length(bin) >= {4 * SHINGLE}")
-    return d.selectExpr("h as node", f"array_distinct(transform(sequence(0, octet_length(bin) div 4 - {SHINGLE}), i -> {SHINGLE_HASH})) as s")
+def shingle_set(line: str) -> str:
+    """SQL for the distinct shingles' hashes of a column of lines that are not shorter than a shingle; a line takes an eighth of its set's room."""
+    each = f"transform(sequence(0, octet_length(bin) div 4 - {SHINGLE}), i -> {SHINGLE_HASH})"
+    return f"array_distinct(flatten(transform(array(encode({line}, 'UTF-32')), bin -> {each})))"
 
 
 def line_classes(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame, Scratch]:
@@ -80,8 +80,8 @@ def line_classes(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataF
     distinct = lines.groupBy("h").agg(F.first("line").alias("line"))
     sigs = signatures(distinct)
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col("sig")[k] for k in band]) for b, band in enumerate(BAND)])
-    # half of each coordinate tells agreement from chance
-    sigs = scratch.keep(sigs.select("h", keys.alias("keys"), F.expr("transform(sig, x -> cast(shiftright(x, 32) as int))").alias("sig")), "signatures")
+    # a byte of each coordinate, above the bits that name its class, tells agreement from chance
+    sigs = scratch.keep(sigs.select("h", keys.alias("keys"), F.expr("transform(sig, x -> cast((shiftright(x, 3) & 255) - 128 as tinyint))").alias("sig")), "signatures")
     postings = sigs.select(F.explode("keys").alias("key"), F.col("h").alias("node"))
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -93,9 +93,11 @@ def line_classes(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataF
     def sets(asked: DataFrame) -> DataFrame:
         # few enough hashes go to all tasks; beyond that the lines are shuffled
         asked = bounded(scratch.keep(asked.select(F.col("node").alias("h")), "asked"))
-        return shingle_sets(lines.select("h", "line").join(asked, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")))
+        scratch.drop(sigs)  # the pairs are written
+        found = lines.select("h", "line").join(asked, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
+        return found.where(f"char_length(line) >= {SHINGLE}").selectExpr("h as node", "line as s")
 
-    roots = link(postings, near, sets, PERCENT, scratch)
+    roots = link(postings, near, sets, PERCENT, scratch, shingle_set)
     firsts = places.groupBy("h").agg(F.min(F.struct("ord", "th", "pos")).alias("first"), F.count("*").alias("c"))
     firsts = firsts.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").where("c > 1 or root is not null")
     firsts = scratch.keep(firsts.select("h", "first", F.coalesce("root", "h").alias("root")), "repeated")
