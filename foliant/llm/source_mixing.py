@@ -162,7 +162,11 @@ def taken(docs: DataFrame, out: DataFrame) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, *more) -> DataFrame:
     """Documents with size, source_size, target, taken, and the columns ``more``; the mix itself is written on the way."""
     place, slots, scratch = mix(spark, docs)
-    out = scratch.keep(dealt(place(F.col("text").cast("string").alias("text")), slots), "mix")
+    # written with their places, so that the texts' shuffle files are gone before the blocks are shuffled
+    texts = place(F.col("text").cast("string").alias("text")).where("size > 0")
+    texts = scratch.keep(texts.select("sid", "chunk", "rn", "start", "size", "text"), "placed")
+    out = scratch.keep(dealt(texts, slots), "mix")
+    scratch.drop(texts)
     return taken(place(*more), out)
 
 
