@@ -23,6 +23,8 @@ the others lose every line with a word; extra columns are passed on under any na
 from __future__ import annotations
 
 import random
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,6 +34,8 @@ from .components import link
 
 SHINGLE, BANDS, ROWS, PERCENT, MATCHES = 8, 10, 4, 80, 20
 LAST = (1 << 63) - 1
+#: All that WORD leaves out.
+SPACES = " \t\n\v\f\r"
 _random = random.Random(20240817)
 CLASSES, FUNCTIONS = 8, BANDS * ROWS // 8
 MASKS = [_random.getrandbits(64) - (1 << 63) for _ in range(FUNCTIONS)]
@@ -49,7 +53,8 @@ def named(docs: DataFrame, *more) -> DataFrame:
 def occurrences(docs: DataFrame) -> DataFrame:
     """(h, ord, th, pos, line) of every line that holds a word."""
     lines = named(docs, F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("pos", "line"))
-    return lines.where(F.col("line").rlike(WORD)).select(F.xxhash64("line").alias("h"), "ord", "th", "pos", "line")
+    # a word is whatever is left without leading white space; a regular expression would decode each line
+    return lines.where(F.octet_length(F.ltrim("line", F.lit(SPACES))) > 0).select(F.xxhash64("line").alias("h"), "ord", "th", "pos", "line")
 
 
 def signatures(lines: DataFrame) -> DataFrame:
@@ -63,7 +68,11 @@ def signatures(lines: DataFrame) -> DataFrame:
     d = d.groupBy("h", F.expr(f"x & {CLASSES - 1}").alias("class")).agg(*[F.expr(f"min(x ^ {m}L)").alias(f"m{j}") for j, m in enumerate(MASKS)])
     own = [F.max(F.when(F.col("class") == c, F.col(f"m{j}"))).alias(f"m{c}_{j}") for c in range(CLASSES) for j in range(FUNCTIONS)]
     lent = lambda c, j: F.coalesce(*[F.col(f"m{(c + k) % CLASSES}_{j}") + F.lit(k) for k in range(CLASSES)])
-    return d.groupBy("h").agg(*own).select("h", F.array(*[lent(c, j) for j in range(FUNCTIONS) for c in range(CLASSES)]).alias("sig"))
+    order = [(c, j) for j in range(FUNCTIONS) for c in range(CLASSES)]
+    # most lines have shingles in all classes and borrow nothing
+    full = reduce(and_, [F.col(f"m{c}_0").isNotNull() for c in range(CLASSES)])
+    sig = F.when(full, F.array(*[F.col(f"m{c}_{j}") for c, j in order])).otherwise(F.array(*[lent(c, j) for c, j in order]))
+    return d.groupBy("h").agg(*own).select("h", sig.alias("sig"))
 
 
 def shingle_set(line: str) -> str:
