@@ -29,7 +29,7 @@ from operator import and_
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, bounded, table
+from .common import WORD, Scratch, bounded, setting, table
 from .components import link
 
 SHINGLE, BANDS, ROWS, PERCENT, MATCHES = 8, 10, 4, 80, 20
@@ -42,6 +42,9 @@ MASKS = [_random.getrandbits(64) - (1 << 63) for _ in range(FUNCTIONS)]
 _deals = [_random.sample(range(CLASSES), CLASSES) for _ in range(FUNCTIONS)]
 #: The coordinates of each band, one of each of ROWS classes.
 BAND = [[CLASSES * j + c for c in deal[at : at + ROWS]] for j, deal in enumerate(_deals) for at in range(0, CLASSES, ROWS)]
+#: Bits of the size of the generated map of an aggregate. With Spark's 16, most (line, class) groups of a task
+#: are looked for there in vain and then kept in the slower map; beyond the page that a map gets they still are.
+MAP_BITS = "spark.sql.codegen.aggregate.fastHashMap.capacityBit", "20"
 SHINGLE_HASH = f"xxhash64(substring(bin, 4 * i + 1, {4 * SHINGLE}))"
 
 
@@ -90,7 +93,8 @@ def line_classes(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataF
     sigs = signatures(distinct)
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col("sig")[k] for k in band]) for b, band in enumerate(BAND)])
     # a byte of each coordinate, above the bits that name its class, tells agreement from chance
-    sigs = scratch.keep(sigs.select("h", keys.alias("keys"), F.expr("transform(sig, x -> cast((shiftright(x, 3) & 255) - 128 as tinyint))").alias("sig")), "signatures")
+    with setting(spark, *MAP_BITS):
+        sigs = scratch.keep(sigs.select("h", keys.alias("keys"), F.expr("transform(sig, x -> cast((shiftright(x, 3) & 255) - 128 as tinyint))").alias("sig")), "signatures")
     postings = sigs.select(F.explode("keys").alias("key"), F.col("h").alias("node"))
 
     def near(pairs: DataFrame) -> DataFrame:
