@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,13 +78,33 @@ def first_over(stream: DataFrame, cap: int) -> DataFrame:
 
 
 def short_count(n: Column) -> Column:
-    """12, 1.5k, 12.3457M: six significant digits, without trailing zeros."""
+    """12, 1.5k, 12.3457M, 1.23457e+06M: six significant digits as C's %g gives them, without trailing zeros.
+
+    Millions are rounded by the exact value of the double, halves to the even digit. format_string rounds the
+    shortest decimal form, halves up: 1188945 would be 1.18895M, but the double nearest to 1.188945 is below it.
+    """
+
+    def let(value: Column, then: Callable[[Column], Column]) -> Column:
+        return F.transform(F.array(value), then)[0]
+
+    def power(k: Column) -> Column:
+        return F.rpad(F.lit("1"), 1 + F.greatest(k, F.lit(0)), "0").cast("decimal(8,0)")
+
+    def rounded(v: Column) -> Column:
+        """(six digits as one number, decimal exponent); a double from 1 on is a whole number of 2^-52, so all is exact."""
+        whole, unit = F.floor(v), F.lit(2**52).cast("decimal(16,0)")
+        units = whole.cast("decimal(13,0)") * unit + ((v - whole) * float(2**52)).cast("long").cast("decimal(16,0)")
+        over = F.length(whole.cast("string")) - 6
+        cut = let(F.struct((units * power(-over)).alias("a"), (unit * power(over)).alias("b"), over.alias("over")), lambda x: F.struct(F.call_function("div", x["a"], x["b"]).alias("q"), ((x["a"] % x["b"]) * 2).alias("r"), x["b"].alias("b"), x["over"].alias("over")))
+        up = let(cut, lambda x: F.struct((x["q"] + ((x["r"] > x["b"]) | (x["r"] == x["b"]) & (x["q"] % 2 == 1)).cast("long")).alias("q"), (x["over"] + 5).alias("e")))
+        return let(up, lambda x: F.when(x["q"] == 1_000_000, F.struct(F.lit(100_000).cast("long").alias("q"), (x["e"] + 1).alias("e"))).otherwise(x))
+
+    def point(digits: Column, at: Column) -> Column:
+        return F.concat(F.substring(digits, F.lit(1), at), F.regexp_replace(F.concat(F.lit("."), F.substring(digits, at + 1, F.lit(6))), r"\.?0*$", ""))
 
-    def text(v: Column) -> Column:
-        digits = F.length(F.floor(v).cast("string"))
-        shown = F.format_string("%.0f", v)
-        for k in range(1, 6):
-            shown = F.when(digits == k, F.format_string(f"%.{6 - k}f", v)).otherwise(shown)
-        return F.when(shown.contains("."), F.regexp_replace(shown, r"\.?0+$", "")).otherwise(shown)
+    def shown(x: Column) -> Column:
+        digits = x["q"].cast("string")
+        return F.when(x["e"] < 6, point(digits, x["e"] + 1)).otherwise(F.concat(point(digits, F.lit(1)), F.lit("e+"), F.lpad(x["e"].cast("string"), 2, "0")))
 
-    return F.when(n >= 1_000_000, F.concat(text(n / 1e6), F.lit("M"))).when(n >= 1000, F.concat(text(n / 1e3), F.lit("k"))).otherwise(n.cast("string"))
+    thousands = point(n.cast("string"), F.length(n.cast("string")) - 3)
+    return F.when(n >= 1_000_000, F.concat(let(rounded(n / 1e6), shown), F.lit("M"))).when(n >= 1000, F.concat(thousands, F.lit("k"))).otherwise(n.cast("string"))

@@ -29,6 +29,17 @@ def test_short_counts(spark):
     assert [r["s"] for r in d.select(accounting.short_count(F.col("n")).alias("s")).collect()] == ["12", "1.5k", "2M", "12.3457M", "999.999k", "100k", "1234.57M"]
 
 
+def test_short_counts_equal_printf(spark):
+    import duckdb
+
+    # halves whose nearest double is below or above, carries, and sums from a million millions on
+    ns = [1_188_945, 1_211_315, 1_211_325, 9_999_995, 99_999_950, 999_999_499_999, 999_999_500_000, 10**12, 1_000_005_000_000, 1_234_565_000_000, 1_999_999_999_999_999, 9_007_199_254_740_993, 2**63 - 1]
+    ns += [999, 1000, 1001, 10_010, 999_990, 1_000_000, *range(1_000_005, 1_400_000, 1_370), *range(10_000_050, 99_000_000, 314_150)]
+    want = duckdb.execute("select printf('%g', n / case when n < 1000 then 1 when n < 1000000 then 1e3 else 1e6 end) || case when n < 1000 then '' when n < 1000000 then 'k' else 'M' end from (select unnest(?::bigint[]) as n)", [ns]).fetchall()
+    d = spark.createDataFrame([(i, n) for i, n in enumerate(ns)], "i int, n long").select("i", accounting.short_count(F.col("n")).alias("s"))
+    assert [r["s"] for r in d.orderBy("i").collect()] == [w for (w,) in want]
+
+
 def test_paragraph_merge(spark):
     d = spark.createDataFrame(
         [(1, 1, 0, 100.0, 90.0, 10.0, "A line that is bro-"), (1, 2, 0, 80.0, 70.0, 10.0, "ken here"), (1, 3, 0, 45.0, 35.0, 10.0, "far"), (1, 4, 1, 99.0, 89.0, 10.0, "goes on.")],
