@@ -18,15 +18,16 @@ def section_numbers(heads: DataFrame, levels: int = 6) -> DataFrame:
     appendix all levels start again; its sections of level 1 are lettered,
     while those below show the decimal counter. Unnumbered headings do not count.
     """
-    d = heads.selectExpr("*", "case when numbered then level end as lv", "0L as s0")
-    for k in range(1, levels + 1):
-        # s: headings above level k so far, which names the heading that the count is under
-        d = d.selectExpr(
-            "*", f"cast(count_if(lv = {k}) over (partition by doc, appendix, s{k - 1} order by n) as bigint) as c{k}", f"count_if(level <= {k}) over (partition by doc order by n) as s{k}"
-        )
-    shown = [f"case when level >= {k} and c{k} > 0 then {f'case when level = 1 and appendix then chr(64 + cast(c1 as int)) else cast(c1 as string) end' if k == 1 else f'cast(c{k} as string)'} end" for k in range(1, levels + 1)]
-    made = ["lv", "s0", *[f"{x}{k}" for k in range(1, levels + 1) for x in "cs"]]
-    return d.selectExpr("*", f"case when numbered then concat_ws('.', {', '.join(shown)}) end as number").drop(*made)
+    # one order for all: running counts outside (0) and inside the appendix (1), less those at the heading that the count is under
+    w = "over (partition by doc order by n)"
+    ks, parts = range(1, levels + 1), {0: "not coalesce(appendix, false)", 1: "coalesce(appendix, false)"}
+    d = heads.selectExpr("*", *[f"count_if(numbered and level = {k} and {at}) {w} as a{k}_{p}" for k in ks for p, at in parts.items()])
+    d = d.selectExpr("*", *[f"last(case when level < {k} then a{k}_{p} end, true) {w} as b{k}_{p}" for k in ks[1:] for p in parts])
+    count = {k: "case when coalesce(appendix, false) then " + " else ".join(f"a{k}_{p}" + (f" - coalesce(b{k}_{p}, 0L)" if k > 1 else "") for p in (1, 0)) + " end" for k in ks}
+    made = [c for c in d.columns if c not in heads.columns]
+    d = d.selectExpr("*", *[f"{count[k]} as c{k}" for k in ks])
+    shown = [f"case when level >= {k} and c{k} > 0 then {f'case when level = 1 and appendix then chr(64 + cast(c1 as int)) else cast(c1 as string) end' if k == 1 else f'cast(c{k} as string)'} end" for k in ks]
+    return d.selectExpr("*", f"case when numbered then concat_ws('.', {', '.join(shown)}) end as number").drop(*made, *[f"c{k}" for k in ks])
 
 
 def section_parents(heads: DataFrame) -> DataFrame:

@@ -59,6 +59,32 @@ def test_section_numbers(spark):
     assert [r["number"] for r in got if r["doc"] == 2] == ["1", "1.1", "1.2", None, "1.1", "1.1.1", None, "1.1.1", "2", "2.1", "2.1.1"]
 
 
+def test_section_numbers_sort_once(spark):
+    # each further order of the same rows is a further copy of them in a task's memory
+    d = spark.createDataFrame([(1, 1, 1, True, False)], "doc int, n int, level int, numbered boolean, appendix boolean")
+    plan = numbering.section_numbers(d)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("Exchange ") == 1
+
+
+def test_section_numbers_in_and_out_of_the_appendix(spark):
+    # the appendix need not come last: its counts go on where they were, under the same headings
+    heads = [(1, True, False), (2, True, True), (2, True, False), (2, True, True), (1, True, True), (2, True, False), (1, True, False), (2, True, True), (None, True, False), (3, True, True)]
+    d = spark.createDataFrame([(1, n, *h) for n, h in enumerate(heads)], "doc int, n int, level int, numbered boolean, appendix boolean")
+    assert [r["number"] for r in numbering.section_numbers(d).orderBy("n").collect()] == ["1", "1", "1.1", "2", "A", "1.1", "2", "1.1", "", "1.1.1"]
+
+
+def test_headings_grow_by_tasks(spark, monkeypatch):
+    from foliant.sources import adapters
+
+    sf = "/root/testdata/sf0.001"
+    few = {tuple(r) for r in adapters.headings(spark, sf).collect()}
+    monkeypatch.setattr(adapters, "SHARE", 10_000)
+    d = adapters.headings(spark, sf)
+    assert d.rdd.getNumPartitions() == adapters.shares(adapters.read(spark, sf, "lineitem")) > 4 and {tuple(r) for r in d.collect()} == few
+    # numbering by document needs no second shuffle
+    assert numbering.section_parents(d)._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+
+
 def test_rate_limit_equals_loop(spark):
     times = [0, 1, 2, 10, 11, 30]
     d = spark.createDataFrame([(1, i, t) for i, t in enumerate(times)], "gate int, id int, us long")
