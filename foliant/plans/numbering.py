@@ -82,8 +82,12 @@ def bib_labels(spark, sf_dir):
 
 def backlink_seq(spark, sf_dir):
     """Ids of repeated references to one target: the second is -2, the third -3."""
-    d = a.read(spark, sf_dir, "lineitem").selectExpr("l_partkey", "l_orderkey", "l_linenumber", "row_number() over (partition by l_partkey order by l_orderkey, l_linenumber, l_suppkey, l_quantity) as k")
-    return d.selectExpr("l_partkey", "l_orderkey", "l_linenumber", "concat('ref-', l_partkey, case when k > 1 then concat('-', k) else '' end) as id").groupBy("id").agg(F.count("*").alias("n"))
+    t = a.read(spark, sf_dir, "lineitem")
+    d = a.spread(t.select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity"), t, "l_partkey")
+    d = d.selectExpr("l_partkey", "row_number() over (partition by l_partkey order by l_orderkey, l_linenumber, l_suppkey, l_quantity) as k")
+    # target and number stand for the id, and are counted where they are; all references without a target have the same id, null
+    d = d.selectExpr("l_partkey", "case when l_partkey is not null then k end as k").groupBy("l_partkey", "k").agg(F.count("*").alias("n"))
+    return d.selectExpr("concat('ref-', l_partkey, case when k > 1 then concat('-', k) else '' end) as id", "n")
 
 
 ENTRIES = {

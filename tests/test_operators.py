@@ -85,6 +85,23 @@ def test_headings_grow_by_tasks(spark, monkeypatch):
     assert numbering.section_parents(d)._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
 
 
+def test_backlinks_are_shuffled_once(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    from foliant.plans import numbering as plans
+    from foliant.sources import adapters
+
+    monkeypatch.setattr(adapters, "SHARE", 100)
+    rows = [(p, o, o % 3, o % 2, 1.0) for p in (1, 12, None, -1) for o in range(40 if p == 12 else 3)]
+    spark.createDataFrame(rows, "l_partkey long, l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    d = plans.backlink_seq(spark, str(tmp_path))
+    assert d._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1 and d.rdd.getNumPartitions() > 4
+    c = duckdb.connect()
+    c.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = c.execute(plans.ENTRIES["backlink_seq"].sql).fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in d.collect()) and (None, 3) in want
+
+
 def test_rate_limit_equals_loop(spark):
     times = [0, 1, 2, 10, 11, 30]
     d = spark.createDataFrame([(1, i, t) for i, t in enumerate(times)], "gate int, id int, us long")
