@@ -79,21 +79,29 @@ def merge_paragraphs(rows: DataFrame, gap: float = 2.5) -> DataFrame:
     return packed.select("doc", F.expr(f"aggregate(xs, {start}, (acc, x) -> {step}, acc -> array_append(acc.done, acc.last))").alias("merged"))
 
 
-def occupancy(lines: DataFrame, width: str = "bin") -> DataFrame:
-    """(doc, page, bin, n): lines over each horizontal unit; (doc, page, lo, hi) in, hi exclusive."""
-    return lines.where("hi > lo").select("doc", "page", F.explode(F.expr("sequence(lo, hi - 1)")).alias(width)).groupBy("doc", "page", width).agg(F.count("*").alias("n"))
+def occupancy(lines: DataFrame, lo: int, hi: int) -> DataFrame:
+    """(doc, page, total, first, stop, n): lines over each stretch of units of [lo, hi) between two line ends; (doc, page, lo, hi) in, hi exclusive.
+
+    A running sum of line beginnings and ends, so a line is three rows at most, however wide. Pages whose
+    lines are all empty have one stretch without any; total counts these lines too.
+    """
+    turn = lambda at, by, line: f"named_struct('first', cast(least(greatest({at}, {lo}), {hi}) as int), 'turn', {by}L, 'line', {line}L)"
+    # as in a join by name, lines of a page without a document or number are counted but take no room
+    ends = f"case when hi > lo and doc is not null and page is not null then array({turn('lo', 1, 1)}, {turn('hi', -1, 0)}, {turn(lo, 0, 0)}) else array({turn(lo, 0, 1)}) end"
+    turns = lines.select("doc", "page", F.expr(f"inline({ends})")).groupBy("doc", "page", "first").agg(F.sum("turn").alias("turn"), F.sum("line").alias("line"))
+    w = "over (partition by doc, page order by first)"
+    d = turns.selectExpr("doc", "page", "first", f"lead(first, 1, {hi}) {w} as stop", f"sum(turn) {w} as n", "sum(line) over (partition by doc, page) as total")
+    return d.where("first < stop")
 
 
-def valleys(hist: DataFrame, lines: DataFrame, lo: int, hi: int, least: int, share: float = 0.02) -> DataFrame:
-    """(doc, page, first, last): runs of at least ``least`` thin bins in [lo, hi).
+def valleys(held: DataFrame, least: int, share: float = 0.02) -> DataFrame:
+    """(doc, page, first, last): runs of at least ``least`` thin units, from stretches as ``occupancy`` gives them.
 
     Thin: no more than max(1, share of the page's lines).
     """
-    total = lines.groupBy("doc", "page").agg(F.count("*").alias("total"))
-    grid = total.select("doc", "page", "total", F.explode(F.expr(f"sequence({lo}, {hi - 1})")).alias("bin"))
-    thin = grid.join(hist, ["doc", "page", "bin"], "left").where(F.coalesce("n", F.lit(0)) <= F.greatest(F.lit(1.0), share * F.col("total")))
-    thin = thin.selectExpr("doc", "page", "bin", "bin - row_number() over (partition by doc, page order by bin) as g")
-    runs = thin.groupBy("doc", "page", "g").agg(F.min("bin").alias("first"), F.max("bin").alias("last"))
+    thin = held.selectExpr("*", f"n > greatest(1.0D, {share}D * total) as thick")
+    runs = thin.selectExpr("*", "count_if(thick) over (partition by doc, page order by first) as g").where("not thick")
+    runs = runs.groupBy("doc", "page", "g").agg(F.min("first").alias("first"), (F.max("stop") - 1).alias("last"))
     return runs.where(F.col("last") - F.col("first") + 1 >= least).select("doc", "page", "first", "last")
 
 

@@ -81,8 +81,7 @@ def _spans(spark, sf_dir):
 
 
 def column_histogram(spark, sf_dir):
-    lines = _spans(spark, sf_dir)
-    return op.valleys(op.occupancy(lines), lines, 0, 612, 24)
+    return op.valleys(op.occupancy(_spans(spark, sf_dir), 0, 612), 24)
 
 
 COLUMNS = """,

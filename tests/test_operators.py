@@ -102,6 +102,25 @@ def test_backlinks_are_shuffled_once(spark, tmp_path, monkeypatch):
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in d.collect()) and (None, 3) in want
 
 
+def test_valleys_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(7)
+    rows = [(f"d{p % 3}" if p else None, p, lo := rng.randrange(-20, 120), lo + rng.randrange(-3, 90)) for p in range(12) for _ in range(rng.choice((1, 2, 5, 160)))] + [("e", 1, 5, 5), ("f", 1, -9, 300)]
+    want = []
+    for doc, page in sorted({r[:2] for r in rows}, key=repr):
+        spans = [r[2:] for r in rows if r[:2] == (doc, page)]
+        thin = [doc is None or sum(lo <= x < hi for lo, hi in spans) <= max(1.0, 0.02 * len(spans)) for x in range(100)]
+        starts = [x for x in range(100) if thin[x] and (x == 0 or not thin[x - 1])]
+        runs = [(x, next((y for y in range(x, 100) if not thin[y]), 100) - 1) for x in starts]
+        want += [(doc, page, x, y) for x, y in runs if y - x + 1 >= 4]
+    d = spark.createDataFrame(rows, "doc string, page long, lo int, hi int")
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in layout.valleys(layout.occupancy(d, 0, 100), 4).collect())
+    # a line is three rows at most, where it was a row for each unit
+    wide = spark.createDataFrame([("d", 1, 0, 100_000)], "doc string, page long, lo int, hi int")
+    assert layout.occupancy(wide, 0, 100_000).count() == 1
+
+
 def test_rate_limit_equals_loop(spark):
     times = [0, 1, 2, 10, 11, 30]
     d = spark.createDataFrame([(1, i, t) for i, t in enumerate(times)], "gate int, id int, us long")
